@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.mixing import mix
+from tessella.llm.stuffing import score_pages
 from tessella.llm.tokens import encode, encode_with_offsets, round_trip
 from tessella.session import table
 
@@ -34,5 +36,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_offsets": p6_offsets, "p6_round_trip": p6_round_trip, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Perplexity and abnormal share of every document with text."""
+    return score_pages(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The flagged pages."""
+    return p8_scores(spark, d).where(F.col("flagged")).select("doc_id")
+
+
+QUERIES = {
+    "p6_ids": p6_ids,
+    "p6_offsets": p6_offsets,
+    "p6_round_trip": p6_round_trip,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+}
 ORACLES: dict[str, str] = {}
