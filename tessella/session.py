@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ BROADCAST_ROWS = 200_000
 
 def get_spark(app: str = "tessella", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the benchmark use."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -27,10 +30,30 @@ def get_spark(app: str = "tessella", cpus: int | str = "*", partitions: int = 8)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of every executor, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    home = Path(__file__).parent
+    path = os.path.join(tempfile.mkdtemp(prefix="tessella-"), "tessella_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    context.addPyFile(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
