@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.mixing import mix
+from tessella.llm.neardup import alike_pairs
 from tessella.llm.pairs import find_defects
 from tessella.llm.stuffing import score_pages
 from tessella.llm.tokens import encode, encode_with_offsets, round_trip
@@ -17,6 +18,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return find_defects(table(spark, d, "autoq_questions"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of ids whose word sets are alike to at least 0.7."""
+    return alike_pairs(table(spark, d, "autoq_questions"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
     return encode(table(spark, d, "documents"))
@@ -54,6 +60,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": p3_found,
+    "p5_found": p5_found,
     "p6_ids": p6_ids,
     "p6_offsets": p6_offsets,
     "p6_round_trip": p6_round_trip,
