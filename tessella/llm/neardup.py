@@ -296,7 +296,8 @@ def candidates(sets: DataFrame, threshold: Fraction = THRESHOLD, deletions: bool
                 arrays = [sig[k : k + 100_000].view(np.int64), s.key[r], s.size[r].astype(np.int32), low[r], high[r]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["sig", "key", "l", "lo", "hi"])
 
-    signs = sets.select("key", "words").mapInArrow(emit, SIGNATURES)
+    # Kept, so that both sides of the join read the same rows and one exchange serves them both.
+    signs = keep(sets.select("key", "words").mapInArrow(emit, SIGNATURES))
     # 5. Equal signatures, pruned by size and sketch: |r| + |s| and differences in whole numbers.
     one, two = signs.alias("x"), signs.alias("y")
     num, den = threshold.numerator, threshold.denominator
