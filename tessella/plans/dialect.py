@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.session import keep
+from tessella.session import cut
 
 
 def quote(text: str) -> str:
@@ -79,6 +79,9 @@ class Dialect:
     def cat(self, a: str, b: str) -> str:
         return f"list_concat({a}, {b})"
 
+    def struct(self, **xs: str) -> str:
+        return "struct_pack(" + ", ".join(f"{k} := {v}" for k, v in xs.items()) + ")"
+
     def explode(self, a: str) -> str:
         return f"unnest({a})"
 
@@ -144,9 +147,9 @@ class SparkDialect(Dialect):
         self.folder, self.session = folder, spark
 
     def once(self, name: str, ctes: str) -> str:
-        """The last of some CTEs computed once and kept, so that what follows neither repeats nor inlines its expressions."""
+        """The last of some CTEs written once, so that what follows neither repeats nor inlines its expressions."""
         view = f"{name}_{uuid.uuid4().hex}"
-        keep(self.session.sql(f"with {ctes} select * from {name}")).createOrReplaceTempView(view)
+        cut(self.session.sql(f"with {ctes} select * from {name}")).createOrReplaceTempView(view)
         return f"{name} as (select * from {view})"
 
     def t(self, name: str) -> str:
@@ -197,6 +200,9 @@ class SparkDialect(Dialect):
     def cat(self, a: str, b: str) -> str:
         return f"concat({a}, {b})"
 
+    def struct(self, **xs: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in xs.items()) + ")"
+
     def explode(self, a: str) -> str:
         return f"explode({a})"
 

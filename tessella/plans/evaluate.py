@@ -44,10 +44,14 @@ def signals(q: Dialect, product: str, fields: str) -> str:
     return q.distinct(q.filter(q.map(q.cat(names, spoken), "s", plain(q, "s")), "s", "s <> ''"))
 
 
-def found(q: Dialect, signal: str, text: str, words: str) -> str:
-    """Whether a signal is part of a text (both plain), or at least 0.8 of its words are among the text's."""
-    own = tokens(q, signal)
-    return f"({text} like concat('%', {signal}, '%') or ({q.size(own)} > 0 and 10 * {q.size(q.common(own, words))} >= 8 * {q.size(own)}))"
+def found(q: Dialect, part: str, text: str, words: str) -> str:
+    """Whether a signal (its plain text p and words w) is part of a plain text, or at least 0.8 of its words are among the text's."""
+    return f"(contains({text}, {part}.p) or ({q.size(part + '.w')} > 0 and 10 * {q.size(q.common(part + '.w', words))} >= 8 * {q.size(part + '.w')}))"
+
+
+def parts(q: Dialect, texts: str) -> str:
+    """Each text of a list with its plain form p and its words w, computed once."""
+    return q.map(texts, "x", q.struct(p=plain(q, "x"), w=tokens(q, "x")))
 
 
 def cells(q: Dialect) -> str:
@@ -59,8 +63,9 @@ def cells(q: Dialect) -> str:
     {side("g", "graph_walk")}, {side("v", "dense_small")},
     joined as (select qa.*, coalesce(g.answer, '') as g_answer, coalesce(v.answer, '') as v_answer, coalesce(g.ctx, {q.empty}) as g_ctx, coalesce(v.ctx, {q.empty}) as v_ctx, g.latency_ms as g_latency, v.latency_ms as v_latency
            from qa left join g on qa.id = g.id left join v on qa.id = v.id),
-    both_sides as (select joined.*, {signals(q, "source_product", "source_fields")} as expected, {tokens(q, "question")} as q_tok, {tokens(q, "truth")} as t_tok,
-           {tokens(q, "concat(" + q.join("gold", " ") + ", ' ', truth)")} as gold_tok, {q.join("g_ctx", " ")} as g_text, {q.join("v_ctx", " ")} as v_text from joined)"""
+    named as (select joined.*, {signals(q, "source_product", "source_fields")} as expected from joined),
+    both_sides as (select named.*, {parts(q, "expected")} as expected_parts, {parts(q, "g_ctx")} as g_parts, {parts(q, "v_ctx")} as v_parts, {tokens(q, "question")} as q_tok, {tokens(q, "truth")} as t_tok,
+           {tokens(q, "concat(" + q.join("gold", " ") + ", ' ', truth)")} as gold_tok, {q.join("g_ctx", " ")} as g_text, {q.join("v_ctx", " ")} as v_text from named)"""
 
 
 def scores(q: Dialect) -> str:
@@ -69,11 +74,11 @@ def scores(q: Dialect) -> str:
     def side(p: str) -> str:
         words, text = f"{p}_words", f"{p}_plain"
         ans, size = f"{p}_tok", q.size
-        useful = q.filter(f"{p}_ctx", "c", f"100 * {size(q.common(tokens(q, 'c'), 'gold_tok'))} >= 12 * greatest(1, {size('gold_tok')}) or {size(q.filter('expected', 's', found(q, 's', plain(q, 'c'), tokens(q, 'c'))))} > 0")
+        useful = q.filter(f"{p}_parts", "c", f"100 * {size(q.common('c.w', 'gold_tok'))} >= 12 * greatest(1, {size('gold_tok')}) or {size(q.filter('expected_parts', 's', found(q, 's', 'c.p', 'c.w')))} > 0")
         mute = f"trim({p}_answer) = '' or lower({p}_answer) like '%{NOT_FOUND}%'"
         intent = q.distinct(q.cat("q_tok", "t_tok"))
         return f"""
-        case when {size("expected")} = 0 then 10000 else {q.ratio4(size(q.filter("expected", "s", found(q, "s", text, words))), "greatest(1, " + size("expected") + ")")} end as {p}_entity_recall,
+        case when {size("expected")} = 0 then 10000 else {q.ratio4(size(q.filter("expected_parts", "s", found(q, "s", text, words))), "greatest(1, " + size("expected") + ")")} end as {p}_entity_recall,
         case when {size(f"{p}_ctx")} = 0 then 0 else {q.ratio4(size(useful), "greatest(1, " + size(f"{p}_ctx") + ")")} end as {p}_context_precision,
         case when {mute} or {size(ans)} = 0 then 0 else {q.ratio4(size(q.common(ans, words)), "greatest(1, " + size(ans) + ")")} end as {p}_faithfulness,
         case when {mute} or {size(intent)} = 0 then 0 else least(10000, {q.ratio4("3 * " + size(q.common(ans, intent)), "greatest(1, 2 * " + size(intent) + ")")}) end as {p}_answer_relevancy,
@@ -165,8 +170,8 @@ def o11_coverage(q: Dialect) -> str:
     fields = q.map(q.strings("coalesce(source_fields, '')"), "f", plain(q, "replace(f, '_', ' ')"))
     rel = q.size(q.filter("g_ctx", "c", q.like("lower(c)", r"(^|[^a-z0-9_])(related|compatible_with|connects_to|part_of|used_for|requires|supports|works with|compatible with|connects to|part of|used for)([^a-z0-9_]|$)")))
     hits = lambda a: q.size(q.filter(a, "s", found(q, "s", "g_plain", "g_words")))
-    return f"""with {cells(q)}, w as (select *, {tokens(q, "g_text")} as g_words, {plain(q, "g_text")} as g_plain, {q.distinct(fields)} as rel_signals from both_sides),
-    parts as (select id, {share(hits("expected"), q.size("expected"))} as ent, {share(hits("rel_signals"), q.size("rel_signals"))} as rel, case when {q.size("g_ctx")} = 0 then 0 else {q.ratio4(rel, "greatest(1, " + q.size("g_ctx") + ")")} end as dens from w)
+    return f"""with {cells(q)}, w as (select *, {tokens(q, "g_text")} as g_words, {plain(q, "g_text")} as g_plain, {parts(q, q.distinct(fields))} as rel_parts from both_sides),
+    parts as (select id, {share(hits("expected_parts"), q.size("expected"))} as ent, {share(hits("rel_parts"), q.size("rel_parts"))} as rel, case when {q.size("g_ctx")} = 0 then 0 else {q.ratio4(rel, "greatest(1, " + q.size("g_ctx") + ")")} end as dens from w)
     select id, {shown("ent", "entity_coverage")}, {shown("rel", "relation_coverage")}, {shown("dens", "structural_density")}, cast(floor((5 * ent + 3 * rel + 2 * dens + 5) / 10.0) as bigint) as coverage from parts"""
 
 
