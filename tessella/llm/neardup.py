@@ -46,7 +46,7 @@ RARE_BUDGET = 120  # comparisons for each set by rare words
 SEGMENT_BUDGET = 800  # comparisons for each set by segments
 MIN_SEGMENT = 1.2
 BAND = 4  # ratio of the bounds of size bands
-SIGNATURES = "sig bigint, key bigint, l int, lo bigint, hi bigint"
+SIGNATURES = "sig bigint, key bigint, l int, lo bigint, hi bigint, hot boolean"
 
 
 def word_set(*texts: Column) -> Column:
@@ -262,6 +262,7 @@ def candidates(sets: DataFrame, threshold: Fraction = THRESHOLD, deletions: bool
             low, high = s.sketch()
             rare = ~is_f & test_bits(shared.value, s.words & np.uint64(mask))
             sigs, rows = [_mix(s.words[rare], 1)], [s.row[rare]]
+            hots = [np.zeros(len(rows[0]), bool)]
             for i, band in enumerate(bands):
                 use = meets(band, f, a, rho)
                 if not use.any():
@@ -282,6 +283,8 @@ def candidates(sets: DataFrame, threshold: Fraction = THRESHOLD, deletions: bool
                     take = on[row, seg]
                     sigs.append(seal(less[take], seg[take], i))
                     rows.append(back[row[take]])
+                    hots.append(np.ones(len(rows[-1]), bool))
+                    calm = np.zeros(on.shape, bool)
                 else:
                     bucket = sig & np.uint64(mask)
                     calm = ~test_bits(crowded.value, bucket)
@@ -290,17 +293,25 @@ def candidates(sets: DataFrame, threshold: Fraction = THRESHOLD, deletions: bool
                     on &= test_bits(several.value, bucket)
                 sigs.append(sig[on])
                 rows.append(back[np.nonzero(on)[0]])
-            sig, row = np.concatenate(sigs), np.concatenate(rows)
+                hots.append(~calm[on])
+            sig, row, hot = np.concatenate(sigs), np.concatenate(rows), np.concatenate(hots)
             for k in range(0, len(sig), 100_000):
                 r = row[k : k + 100_000]
-                arrays = [sig[k : k + 100_000].view(np.int64), s.key[r], s.size[r].astype(np.int32), low[r], high[r]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["sig", "key", "l", "lo", "hi"])
+                arrays = [sig[k : k + 100_000].view(np.int64), s.key[r], s.size[r].astype(np.int32), low[r], high[r], hot[k : k + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["sig", "key", "l", "lo", "hi", "hot"])
 
-    # Kept, so that both sides of the join read the same rows and one exchange serves them both.
     signs = keep(sets.select("key", "words").mapInArrow(emit, SIGNATURES))
-    # 5. Equal signatures, pruned by size and sketch: |r| + |s| and differences in whole numbers.
-    one, two = signs.alias("x"), signs.alias("y")
+    # 5. Equal signatures. Calm ones are bounded in number, so they are partitioned once and both sides of the
+    # join read that; the few crowded ones go through a join of their own, which the skew handling may split.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    calm_signs = keep(signs.where(~F.col("hot")).repartition(parts, "sig"))
+    return _meet(calm_signs, threshold).unionByName(_meet(signs.where("hot"), threshold))
+
+
+def _meet(signs: DataFrame, threshold: Fraction) -> DataFrame:
+    """(key_a, key_b) with an equal signature, pruned by size and sketch: |r| + |s| and differences in whole numbers."""
     num, den = threshold.numerator, threshold.denominator
+    one, two = signs.alias("x"), signs.alias("y")
     both = F.col("x.l") + F.col("y.l")
     apart = F.bit_count(F.col("x.lo").bitwiseXOR(F.col("y.lo"))) + F.bit_count(F.col("x.hi").bitwiseXOR(F.col("y.hi")))
     near = (F.col("x.key") < F.col("y.key")) & (apart * (num + den) <= both * (den - num))
