@@ -1,0 +1,39 @@
+"""Retrieval steps that are sequential by nature: maximal marginal relevance over bounded candidate lists."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, fetch: int) -> DataFrame:
+    """(query_id, vec_id, sim, q, v): the `fetch` most similar vectors of every query; a stated query set against all rows."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda v: F.sqrt(dot(v, v))
+    a = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    b = vectors.select("vec_id", F.col("embedding").alias("v"))
+    pairs = a.join(b, F.col("query_id") != F.col("vec_id")).withColumn("sim", F.coalesce(F.try_divide(dot("q", "v"), norm("q") * norm("v")), F.lit(0.0)))
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= fetch)
+
+
+def mmr(queries: DataFrame, vectors: DataFrame, k: int = 5, fetch: int = 20, trade: float = 0.7) -> DataFrame:
+    """(query_id, pos, vec_id): greedy choice by trade * similarity - (1 - trade) * greatest similarity to those chosen."""
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rank")
+        v = np.array(pdf["v"].tolist(), float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        sim, near, left, out = pdf["sim"].to_numpy(), np.zeros(len(v)), list(range(len(v))), []
+        while left and len(out) < k:
+            best = max(left, key=lambda i: (trade * sim[i] - (1 - trade) * (near[i] if out else 0.0), -i))
+            left.remove(best)
+            out.append(best)
+            near = np.maximum(near, v @ v[best]) if len(out) > 1 else v @ v[best]
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "pos": range(len(out)), "vec_id": pdf["vec_id"].to_numpy()[out]})
+
+    found = nearest(queries, vectors, fetch).select("query_id", "vec_id", "sim", "rank", "v")
+    return found.groupBy("query_id").applyInPandas(choose, "query_id bigint, pos bigint, vec_id bigint")
