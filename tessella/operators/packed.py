@@ -39,7 +39,7 @@ UNKNOWN, PER_CHAR = math.log(0.1), -1.5
 _ATOM = re.compile(
     r"""(?P<quoted>"(?:[^"]|"")*"|'(?:[^'])*')(?=\s*(?:$|[|;,/&+\t\n\]}]|and\s|"|'))
       | (?P<round>\([^()]*\))
-      | (?P<fraction>(?<![\d/])\d+/\d+(?=\s*(?:w|watts?)\b))
+      | (?P<fraction>(?<!\d)(?<!\d/)\d+/\d+(?=\s*(?:w|watts?)\b))
       | (?P<cut>\s*,\s*and\s+|\s+and\s+|\s*[|;,/&+\t\n]\s*(?:[*•\-–]\s+)?|(?<=\w_)(?!)|\s+)
       | (?P<word>[^\s|;,/&+("']+|.)""",
     re.X | re.I,
