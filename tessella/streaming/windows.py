@@ -1,6 +1,6 @@
 """Structured Streaming over an event table: windows, sessions, deduplication and late rows.
 
-The reference has no streams; these are an extension. Each job reads a folder of Parquet files with
+An extension beyond batch evaluation. Each job reads a folder of Parquet files with
 `availableNow` and leaves its result in a memory table.
 """
 
