@@ -142,11 +142,14 @@ def plan(patterns: dict[tuple[str, ...], int], flows: dict[tuple[tuple[str, ...]
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, name: str = BYTE_BPE, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
     """(uses, report): uses has (doc_id, source, repeats, n_tokens) of every document in the mix; report has each source's target and actual share."""
     spark = docs.sparkSession
-    sized = token_counts(docs, name, folder, carry=("source",)).withColumn("pattern", F.array_join(membership(F.col("source")), "|")).where((F.col("n_tokens") > 0) & (F.col("pattern") != ""))
+    said = {r.source: (float(r.target_share or 0.0), int(r.max_repeats or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r.source is not None}
+    # Patterns are sets of target sources only, so that their number does not grow with the sources of the documents.
+    wanted = F.array(*[F.lit(s) for s in sorted(said)]).cast("array<string>")
+    named = docs.withColumn("pattern", F.array_join(F.array_intersect(membership(F.col("source")), wanted), "|")).where(F.col("pattern") != "")
+    sized = token_counts(named, name, folder, carry=("pattern",)).where(F.col("n_tokens") > 0)
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40))
     # Written once: the token counts are the expensive part and are used by every later step.
     sized = cut(sized.select("doc_id", "pattern", "n_tokens", u.alias("u"), F.shiftright(u, 26).cast("int").alias("bucket")))
-    said = {r.source: (float(r.target_share or 0.0), int(r.max_repeats or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r.source is not None}
     tokens = {tuple(r.pattern.split("|")): int(r.n) for r in sized.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
     size, flows = route(tokens, said, total)
     steps = spark.createDataFrame(plan(tokens, flows), "pattern string, source string, whole int, start double, stop double, stop2 double")
