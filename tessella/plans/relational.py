@@ -69,8 +69,8 @@ def f6_lookup(q: Dialect) -> str:
 
 
 def f7_self_ineq(q: Dialect) -> str:
-    """Pairs of parts of one name and size 1, each pair once."""
-    return f"select a.p_partkey as a, b.p_partkey as b from {q.t('part')} a join {q.t('part')} b on a.p_name = b.p_name and a.p_size = b.p_size and a.p_partkey < b.p_partkey where a.p_size = 1"
+    """Pairs of parts of one normalised name, each pair once."""
+    return f"select a.p_partkey as a, b.p_partkey as b from {q.t('part')} a join {q.t('part')} b on lower(trim(a.p_name)) = lower(trim(b.p_name)) and a.p_partkey < b.p_partkey"
 
 
 def f8_pairs(q: Dialect) -> str:

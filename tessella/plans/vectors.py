@@ -80,8 +80,15 @@ def m5_stats(q: Dialect) -> str:
 
 
 def n1_pairs(q: Dialect) -> str:
-    """Candidate duplicates: parts of one name, of size 1, with equal or different brand."""
-    return f"select a.p_partkey as a, b.p_partkey as b, case when a.p_brand = b.p_brand then 'same_label' else 'cross_label' end as kind from {q.t('part')} a join {q.t('part')} b on lower(trim(a.p_name)) = lower(trim(b.p_name)) and a.p_partkey < b.p_partkey where a.p_size = 1 and b.p_size = 1"
+    """Candidate duplicates over all parts, by representatives: a class is one name and brand, named by its least part.
+
+    Every other part of a class is paired with that part (same_label), and the least parts of one name's classes with
+    each other (cross_label): two parts have one name if such pairs connect them, and one brand too if same_label pairs
+    do. So a class of n parts has n - 1 rows, not n (n - 1) / 2. A part without brand is a class of its own."""
+    return f"""with p as (select p_partkey, lower(trim(p_name)) as name, coalesce(p_brand, concat('part:', p_partkey)) as label from {q.t("part")} where p_name is not null),
+    c as (select name, label, min(p_partkey) as least_part from p group by name, label)
+    select c.least_part as a, p.p_partkey as b, 'same_label' as kind from p join c on p.name = c.name and p.label = c.label and c.least_part < p.p_partkey
+    union all select x.least_part, y.least_part, 'cross_label' from c x join c y on x.name = y.name and x.least_part < y.least_part"""
 
 
 def n2_exact(q: Dialect) -> str:
