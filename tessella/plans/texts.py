@@ -175,7 +175,7 @@ def e4_present(q: Dialect) -> str:
 def l1_cooc(q: Dialect) -> str:
     """Co-occurrence graph: entities of one document, weighted by documents."""
     return f"""with e as (select doc_id, {q.explode("es")} as entity from (select doc_id, {entities(q, "text")} as es from {docs(q)} d) x)
-    select a.entity as src, b.entity as dst, count(*) as weight, min(a.doc_id) as first_doc from e a join e b on a.doc_id = b.doc_id and a.entity < b.entity group by a.entity, b.entity having count(*) >= 2"""
+    select a.entity as src, b.entity as dst, count(*) as weight, min(a.doc_id) as first_doc from e a join e b on a.doc_id = b.doc_id and a.entity < b.entity group by a.entity, b.entity"""
 
 
 def l2_typed(q: Dialect) -> str:

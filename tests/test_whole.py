@@ -1,5 +1,6 @@
 """Whole results: queries against brute force on small fixtures, where a filter or a cap once left rows out."""
 
+from collections import Counter
 from itertools import combinations
 
 import __spark_entry__ as entry
@@ -34,3 +35,13 @@ def test_duplicates_of_all_sizes(spark, tmp_path):
     assert {(r.a, r.b, r.confidence) for r in run("n2_exact")} == {(r.a, r.b, "high" if r.kind == "same_label" else "low") for r in got}
     assert {(r.node, r.component, r.size) for r in run("n6_clusters")} == {(1, 1, 3), (2, 1, 3), (4, 1, 3), (3, 3, 2), (11, 3, 2), (5, 5, 2), (6, 5, 2)}
     assert {(r.part, r.l_suppkey) for r in run("n7_merge")} == {(1, 1), (1, 2), (3, 1), (5, 1), (7, 1), (8, 1), (9, 1), (10, 1)}
+
+
+def test_pairs_of_weight_one(spark, tmp_path):
+    orders = {1: [1, 2, 3, 2], 2: [2, 1], 3: [4], 4: [5, 4]}
+    write(spark, tmp_path, "lineitem", [(o, p) for o, ps in orders.items() for p in ps], "l_orderkey long, l_partkey long")
+    d = write(spark, tmp_path, "documents", [(1, "AB123 sensor"), (2, "AB123 sensor, panel"), (3, "panel"), (4, None)], "doc_id long, text string")
+    weights = Counter(pair for ps in orders.values() for pair in combinations(sorted(set(ps)), 2))
+    assert {(r.a, r.b): r.weight for r in entry.queries()["f8_pairs"](spark, d).collect()} == weights
+    got = {(r.src, r.dst): (r.weight, r.first_doc) for r in entry.queries()["l1_cooc"](spark, d).collect()}
+    assert got == {("ab123", "sensor"): (2, 1), ("ab123", "panel"): (1, 2), ("panel", "sensor"): (1, 2)}
