@@ -8,8 +8,9 @@ seen once would become a value of its own. Quoted spans, spans in
 parentheses, fractions before a unit and known names are atomic: no candidate delimiter lies in them.
 
 The dictionary that is sent to the tasks holds the DICTIONARY most frequent values per column and names
-are sent as a set only if there are at most NAMES of them; values outside the dictionary get a
-probability by their length, and more names are matched by a join instead.
+are sent as a set only if there are at most NAMES of them; the learned weights of rarer values and more
+names are joined to the texts that hold them, so both bounds leave the result as it is. Only values that
+were not learned get a probability by their length.
 
 Defined results: null, empty and blank texts and texts of one value give no row; blank members do not
 count; unclosed quotes and brackets are read as plain characters; rows delivered twice count once.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.units import field_lookup, squash
-from tessella.session import keep, small
+from tessella.session import cut, keep, small
 
 DICTIONARY = 50_000
 NAMES = 500_000
@@ -130,7 +131,10 @@ def _edges(atoms: list[str], cuts: list[str], score: Callable[[str], float]) ->
             yield i, j + 1, value, (score(value) if value else 0.0) + JOIN * (j - i) + (SPLIT if j < len(cuts) else 0.0)
 
 
-def scorer(model: dict[str, float]) -> Callable[[str], float]:
+def scorer(model: dict[str, float], rare: dict[str, float] | None = None) -> Callable[[str], float]:
+    """Log weights by the dictionary, by a text's own rare values, else by length."""
+    if rare:
+        return lambda v: model[v] if v in model else rare[v] if v in rare else UNKNOWN + PER_CHAR * len(v)
     return lambda v: model[v] if v in model else UNKNOWN + PER_CHAR * len(v)
 
 
@@ -200,53 +204,83 @@ def _with_names(texts: DataFrame, products: DataFrame) -> tuple[DataFrame, froze
     return texts.join(own, ["field", "row_key"], "left"), None
 
 
-def learn(texts: DataFrame, names: frozenset[str] | None, rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
-    """Per field the log probabilities of its most frequent values, by EM over every row."""
+def _with_rare(texts: DataFrame, names: frozenset[str] | None, model: dict[str, dict[str, float]], rare: DataFrame | None) -> DataFrame:
+    """The texts with the learned weights of their own lattice's values that the dictionary does not hold (two arrays, null where there are none)."""
+    if rare is None:
+        return texts.withColumns({"rare": F.lit(None).cast("array<string>"), "weights": F.lit(None).cast("array<double>")})
+    full = frozenset(f for f, m in model.items() if len(m) >= DICTIONARY)
+
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = set()
+            for f, k, t, own in zip(b["field"], b["row_key"], b["text"], b["names"]):
+                if f in full:
+                    atoms, cuts = lattice(t, _known(names, own))
+                    if len(atoms) > 1:
+                        rows |= {(f, k, v) for _, _, v, _ in _edges(atoms, cuts, lambda _: 0.0) if v and v not in model[f]}
+            yield pd.DataFrame(list(rows), columns=["field", "row_key", "value"])
+
+    held = texts.mapInPandas(values, "field string, row_key string, value string").distinct().join(rare, ["field", "value"])
+    own = held.groupBy("field", "row_key").agg(F.collect_list(F.struct("value", "weight")).alias("w")).select("field", "row_key", F.col("w.value").alias("rare"), F.col("w.weight").alias("weights"))
+    return texts.join(own, ["field", "row_key"], "left")
+
+
+def _scorer(model: dict[str, float], rare, weights) -> Callable[[str], float]:
+    return scorer(model, dict(zip(rare, weights)) if rare is not None else None)
+
+
+def learn(texts: DataFrame, names: frozenset[str] | None, rounds: int = ROUNDS) -> tuple[dict[str, dict[str, float]], DataFrame | None]:
+    """Per field the log probabilities of its values, by EM over every row: the most frequent ones, and a table (field, value, weight) of all values of the fields that have more, null if none has."""
     model: dict[str, dict[str, float]] = {}
+    rare: DataFrame | None = None
     for _ in range(rounds):
 
         def count(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
             total: dict[tuple[str, str, bool], float] = defaultdict(float)
             for b in batches:
-                for f, t, own in zip(b["field"], b["text"], b["names"]):
+                for f, t, own, r, w in zip(b["field"], b["text"], b["names"], b["rare"], b["weights"]):
                     atoms, cuts = lattice(t, _known(names, own))
-                    expected(atoms, cuts, scorer(model.get(f, {})), lambda v, joined, p, f=f: total.__setitem__((f, v, joined), total[f, v, joined] + p))
+                    expected(atoms, cuts, _scorer(model.get(f, {}), r, w), lambda v, joined, p, f=f: total.__setitem__((f, v, joined), total[f, v, joined] + p))
                 if len(total) > 200_000:
                     yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["field", "value", "joined", "n"])
                     total.clear()
             yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["field", "value", "joined", "n"])
 
-        counts = texts.mapInPandas(count, "field string, value string, joined boolean, n double").groupBy("field", "value").agg(F.sum("n").alias("n"), F.bool_and("joined").alias("joined"))
+        weighted = _with_rare(texts, names, model, rare)
+        counts = weighted.mapInPandas(count, "field string, value string, joined boolean, n double").groupBy("field", "value").agg(F.sum("n").alias("n"), F.bool_and("joined").alias("joined"))
         counts = keep(counts.where(~F.col("joined")))
-        sums = {r.field: r.s for r in counts.groupBy("field").agg(F.sum("n").alias("s")).collect()}
+        seen = {r.field: r for r in counts.groupBy("field").agg(F.sum("n").alias("s"), F.count("*").alias("values")).collect()}
         top = []
-        for f in sorted(sums):
+        for f in sorted(seen):
             top += counts.where(F.col("field") == f).orderBy(F.desc("n"), "value").limit(DICTIONARY).collect()
-        counts.unpersist()
         model = defaultdict(dict)
         for r in top:
-            model[r.field][r.value] = math.log(r.n / sums[r.field])
+            model[r.field][r.value] = math.log(r.n / seen[r.field].s)
         model = dict(model)
-    return model
+        more = [f for f in sorted(seen) if seen[f]["values"] > DICTIONARY]
+        rare = None
+        if more:
+            sums = F.create_map(*[F.lit(x) for f in more for x in (f, seen[f].s)])
+            rare = cut(counts.where(F.col("field").isin(more)).select("field", "value", F.log(F.col("n") / F.try_element_at(sums, F.col("field"))).alias("weight")))
+        counts.unpersist()
+    return model, rare
 
 
 def split_packed(texts: DataFrame, products: DataFrame) -> DataFrame:
     """(field, row_key, pos, item): the values of every text that holds at least two."""
     texts = keep(texts.distinct())
     named, names = _with_names(texts, products)
-    model = learn(named, names)
+    model, rare = learn(named, names)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = {f: scorer(m) for f, m in model.items()}
-        plain = scorer({})
         for b in batches:
             rows = []
-            for f, k, t, own in zip(b["field"], b["row_key"], b["text"], b["names"]):
+            for f, k, t, own, r, w in zip(b["field"], b["row_key"], b["text"], b["names"], b["rare"], b["weights"]):
                 atoms, cuts = lattice(t, _known(names, own))
                 if len(atoms) > 1:
-                    values = [v for v in viterbi(atoms, cuts, scores.get(f, plain)) if v]
+                    values = [v for v in viterbi(atoms, cuts, _scorer(model.get(f, {}), r, w)) if v]
                     if len(values) > 1:
                         rows += [(f, k, i, v) for i, v in enumerate(values, 1)]
             yield pd.DataFrame(rows, columns=["field", "row_key", "pos", "item"])
 
-    return named.mapInPandas(split, "field string, row_key string, pos bigint, item string").distinct()
+    return _with_rare(named, names, model, rare).mapInPandas(split, "field string, row_key string, pos bigint, item string").distinct()

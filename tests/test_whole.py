@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import combinations
 
 import __spark_entry__ as entry
+import tessella.operators.packed as packed
 from tessella.operators.graph import components
 
 PARTS = [(1, "Red Bolt", "A", 1), (2, "red bolt ", "A", 7), (3, "red bolt", "B", 7), (4, "red bolt", "A", 9), (5, "nut", "B", 3), (6, "NUT", "B", 1), (7, "nut", None, 2), (8, "nut", None, 2), (9, "pin", "A", 1), (10, None, "A", 1), (11, "red bolt", "B", 1)]
@@ -45,3 +46,15 @@ def test_pairs_of_weight_one(spark, tmp_path):
     assert {(r.a, r.b): r.weight for r in entry.queries()["f8_pairs"](spark, d).collect()} == weights
     got = {(r.src, r.dst): (r.weight, r.first_doc) for r in entry.queries()["l1_cooc"](spark, d).collect()}
     assert got == {("ab123", "sensor"): (2, 1), ("ab123", "panel"): (1, 2), ("panel", "sensor"): (1, 2)}
+
+
+def test_values_beyond_the_dictionary_keep_their_weights(spark, monkeypatch):
+    rows = [("f", f"c{i}", "common|usual") for i in range(8)] + [("f", "q", '"short, open"|rare one'), ("f", "j", "short, open|rare two"), ("f", "k", "short, open"), ("f", "l", '"short, open"')]
+    texts = spark.createDataFrame(rows, "field string, row_key string, text string")
+    products = spark.createDataFrame([], "product_name string")
+    run = lambda: {tuple(r) for r in packed.split_packed(texts, products).collect()}
+    whole = run()
+    assert ("f", "j", 1, "short, open") in whole
+    for most in (1, 2, 4):
+        monkeypatch.setattr(packed, "DICTIONARY", most)
+        assert run() == whole
