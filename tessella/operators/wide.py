@@ -89,40 +89,51 @@ def resolve_cells(records: DataFrame, catalog: DataFrame) -> DataFrame:
     return others.withColumn("extracted_at", F.coalesce("extracted_at", F.lit(OLDEST).cast("timestamp_ntz")))
 
 
-def quantity_cells(records: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The cells of quantity fields, from the unit operator; units that were only inferred are no cells."""
+def quantity_cells(records: DataFrame, catalog: DataFrame, failures: bool = True) -> DataFrame:
+    """The cells of quantity fields, from the unit operator; units that were only inferred are no cells. With failures, usable texts without cell are rows whose cell is null."""
     named = records.select("record_id", "field_name", "field_value", "evidence_text", "extracted_at", entity_key(F.col("product_name")).alias("entity")).where(F.col("entity").isNotNull())
     stated = normalise_units(named, catalog, ("entity", "extracted_at", "field_value")).where((F.col("bound") == "value") & (F.col("unit_source") != "inferred"))
-    return stated.select("entity", "field", F.coalesce("extracted_at", F.lit(OLDEST).cast("timestamp_ntz")).alias("extracted_at"), "record_id", F.col("common_milli").cast("string").alias("cell"), F.col("field_value").alias("raw"))
+    at = F.coalesce("extracted_at", F.lit(OLDEST).cast("timestamp_ntz")).alias("extracted_at")
+    cells = stated.select("entity", "field", at, "record_id", F.col("common_milli").cast("string").alias("cell"), F.col("field_value").alias("raw"))
+    if not failures:
+        return cells
+    fields = small(field_lookup(catalog, ("quantity",)).select("key", F.col("field_name").alias("field")))
+    texts = named.select("entity", at, "record_id", squash(F.col("field_name")).alias("key"), F.col("field_value").alias("raw")).where(usable(blanks(F.col("raw")))).join(fields, "key").drop("key")
+    a, b = texts.alias("a"), cells.where(F.col("cell").isNotNull()).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("entity", "field", "extracted_at", "record_id", "raw")]
+    failed = a.join(b, same, "left_anti").select("entity", "field", "extracted_at", "record_id", F.lit(None).cast("string").alias("cell"), "raw")
+    return cells.where(F.col("cell").isNotNull()).unionByName(failed)
 
 
 def latest_cells(cells: DataFrame) -> DataFrame:
-    """(entity, field, cell, failed): the newest usable cell, and the newest text that did not cast. Partial aggregates come before the shuffle, so a hot entity costs one row per field and task."""
+    """(entity, field, cell, failed, texts): the newest usable cell, the newest text that did not cast, and all such texts, each once. Partial aggregates come before the shuffle, so a hot entity costs one row per field and task."""
     order = F.struct("extracted_at", "record_id")
     return cells.groupBy("entity", "field").agg(
         F.max_by("cell", F.when(F.col("cell").isNotNull(), order)).alias("cell"),
         F.max_by("raw", F.when(F.col("cell").isNull() & F.col("raw").isNotNull(), order)).alias("failed"),
+        F.array_sort(F.collect_set(F.when(F.col("cell").isNull(), F.col("raw")))).alias("texts"),
     )
 
 
-def widen(records: DataFrame, products: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row per product: product_name, one typed column per catalogued single-valued field, and cast_failures (field -> text).
+def widen(records: DataFrame, products: DataFrame, catalog: DataFrame, failures: bool = True) -> DataFrame:
+    """One row per product: product_name, one typed column per catalogued single-valued field, cast_failures (field -> newest text) and all_cast_failures (field -> all texts). Without failures, quantity fields are left out of these two.
 
     The field list is the catalogue's; it is read on the driver because it becomes the schema."""
     fields = catalog.where(F.col("value_type").isin(*TYPED)).select("field_name", "value_type").distinct().orderBy("field_name").collect()
-    cells = latest_cells(resolve_cells(records, catalog).unionByName(quantity_cells(records, catalog)))
+    cells = latest_cells(resolve_cells(records, catalog).unionByName(quantity_cells(records, catalog, failures)))
     folded = cells.groupBy("entity").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("field", "cell")))).alias("cells"),
         F.map_from_entries(F.collect_list(F.when(F.col("failed").isNotNull(), F.struct("field", "failed")))).alias("cast_failures"),
+        F.map_from_entries(F.collect_list(F.when(F.size("texts") > 0, F.struct("field", "texts")))).alias("all_cast_failures"),
     )
     names = products.select("product_name", entity_key(F.col("product_name")).alias("entity")).dropDuplicates(["product_name"])
     wide = names.join(folded, "entity", "left")
-    return wide.select("product_name", *[F.try_element_at("cells", F.lit(f.field_name)).try_cast(TYPED[f.value_type]).alias(f.field_name) for f in fields], "cast_failures")
+    return wide.select("product_name", *[F.try_element_at("cells", F.lit(f.field_name)).try_cast(TYPED[f.value_type]).alias(f.field_name) for f in fields], "cast_failures", "all_cast_failures")
 
 
 def unpivot(wide: DataFrame) -> DataFrame:
     """(product_name, field_name, cell) of the filled cells of a wide table."""
-    fields = [c for c in wide.columns if c not in ("product_name", "cast_failures")]
+    fields = [c for c in wide.columns if c not in ("product_name", "cast_failures", "all_cast_failures")]
     text = lambda c: F.date_format(c, "yyyy-MM-dd") if dict(wide.dtypes)[c] == "date" else F.col(c).cast("string")
     cells = F.array(*[F.struct(F.lit(c).alias("field_name"), text(c).alias("cell")) for c in fields])
     return wide.select("product_name", F.explode(F.filter(cells, lambda x: x["cell"].isNotNull())).alias("c")).select("product_name", "c.field_name", "c.cell")

@@ -22,14 +22,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per product with typed columns; the map of failed casts as text so that it can be compared."""
+    """One row per product with typed columns; the maps of failed casts as text so that they can be compared."""
     wide = widen(table(spark, d, "product_records"), table(spark, d, "products"), table(spark, d, "field_catalog"))
-    return wide.withColumn("cast_failures", F.to_json("cast_failures"))
+    return wide.withColumns({c: F.to_json(c) for c in ("cast_failures", "all_cast_failures")})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The filled cells of the wide table."""
-    return unpivot(widen(table(spark, d, "product_records"), table(spark, d, "products"), table(spark, d, "field_catalog")))
+    return unpivot(widen(table(spark, d, "product_records"), table(spark, d, "products"), table(spark, d, "field_catalog"), False))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

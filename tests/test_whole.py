@@ -1,11 +1,13 @@
 """Whole results: queries against brute force on small fixtures, where a filter or a cap once left rows out."""
 
 from collections import Counter
+from datetime import datetime
 from itertools import combinations
 
 import __spark_entry__ as entry
 import tessella.operators.packed as packed
 from tessella.operators.graph import components
+from tessella.operators.wide import widen
 
 PARTS = [(1, "Red Bolt", "A", 1), (2, "red bolt ", "A", 7), (3, "red bolt", "B", 7), (4, "red bolt", "A", 9), (5, "nut", "B", 3), (6, "NUT", "B", 1), (7, "nut", None, 2), (8, "nut", None, 2), (9, "pin", "A", 1), (10, None, "A", 1), (11, "red bolt", "B", 1)]
 
@@ -58,3 +60,16 @@ def test_values_beyond_the_dictionary_keep_their_weights(spark, monkeypatch):
     for most in (1, 2, 4):
         monkeypatch.setattr(packed, "DICTIONARY", most)
         assert run() == whole
+
+
+def test_all_texts_that_did_not_cast(spark):
+    catalog = spark.createDataFrame([("rated_power", "quantity", "power"), ("release_date", "date", None)], "field_name string, value_type string, quantity string")
+    products = spark.createDataFrame([("A",), ("B",)], "product_name string")
+    texts = [("A", "rated_power", "plenty"), ("A", "rated_power", "5 W"), ("A", "rated_power", "3 kg"), ("A", "rated_power", "n/a"), ("A", "release_date", "one day"), ("A", "release_date", "not a day"), ("B", "rated_power", "6 W")]
+    rows = [(f"r{i}", *x, None, datetime(2024, 1, i + 1)) for i, x in enumerate(texts)]
+    records = spark.createDataFrame(rows, "record_id string, product_name string, field_name string, field_value string, evidence_text string, extracted_at timestamp_ntz")
+    got = {r.product_name: r for r in widen(records, products, catalog).collect()}
+    assert (got["A"].rated_power, got["B"].rated_power) == (5000, 6000)
+    assert got["A"].cast_failures == {"rated_power": "3 kg", "release_date": "not a day"}
+    assert got["A"].all_cast_failures == {"rated_power": ["3 kg", "plenty"], "release_date": ["not a day", "one day"]}
+    assert not got["B"].all_cast_failures
