@@ -2,24 +2,31 @@
 
 Every text becomes a sequence of symbols, one character each: function words by their class, content
 words by how many stand in a row and whether the word stood just before, numbers, measured values, codes,
-links, tags and punctuation. A trigram model is trained on the segments that look like prose (sentences
-with function words). A segment whose perplexity lies outside the range of the prose segments of its
-length, and which is no line of measured values, is abnormal; a page is flagged if more than half of its
-characters lie in abnormal segments.
-
-The model has at most |SYMBOLS|^3 entries and the range is read from a histogram of fixed size; both are
-counted over all documents.
-
-Defined results: null, empty and blank texts are not flagged; other texts are read whole, at any length;
-repeated rows are judged each by itself; extra columns are ignored.
+links, tags and punctuation. The sequence is cut into segments (a sentence, a line, a link) and long segments
+into windows, so that every window is judged against many others of its length.
+
+There are two line types, each with a trigram model of its own: prose, trained on windows of sentences with
+function words, and records, trained on lines that end in a measured value. A window with a value to at most
+RECORD words is scored as a record, any other as prose. It is abnormal if its perplexity lies outside the
+range of the training windows of its type and length, on either side. A page is flagged if more than half of
+its characters lie in abnormal windows, or if its own perplexity is abnormally low: a segment that repeats an
+earlier one of the page costs only the bits that name it, and a page that then needs less than LOW of the bits
+of its segments one by one says nothing but the same.
+
+The models have at most |SYMBOLS|^3 entries each and the ranges are read from a histogram of fixed size;
+both are counted over all documents.
+
+Defined results: null, empty and blank texts are not flagged and have no row; other texts are read whole, at any
+length; repeated rows are judged each by itself; extra columns are ignored; without any training window
+nothing is abnormal.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -39,29 +46,35 @@ FUNCTION_WORDS = {
 }
 UNIT_WORDS = "v vac vdc vrms mv kv volt volts a ma ua µa amp amps ampere amperes milliamps w kw mw watt watts ohm ohms kohm ω kω g kg gram grams oz lb lbs m km mm cm ft in yd meter meters metres millimeters hz khz hertz pa kpa hpa mbar psi pascals db s ms sec msec min seconds milliseconds minutes hours h ah mah deg degree degrees rad c f k l/s cfm m3 m³ cu pcs pc % ncm nm stunden sekunden minuten heures secondes minutes horas segundos minutos"
 SYMBOLS = {s: s for s in "dpcnvb"} | {"url": "U", "hash": "H", "num": "N", "value": "V", "code": "K", "run1": "1", "run2": "2", "run3": "3", "run4": "4", "run5": "5", "again": "R", "stop": ".", "comma": ",", "colon": ":", "bracket": "(", "bar": "|", "other": "'"}
-MEMORY = 24  # content words that a repetition is looked for in
-LENGTHS = [3, 5, 8, 12, 20, 40]  # upper bounds of the length classes of segments
-TAIL = 0.005  # share of the prose segments of a length class on either side of the range
-MARGIN = 0.0  # bits a symbol beyond the range
+MEMORY = 24  # content words that a repetition is looked for in, across the segments of a page
+WINDOW = 30  # symbols of a window, about; a segment up to a third longer stays whole
+LENGTHS = [3, 5, 8, 12, 20]  # upper bounds of the length classes of windows
+TAIL = 0.005  # share of the training windows of a type and length on either side of the range
+ENOUGH = 100  # training windows from which a length class has a range of its own
 SENTENCE = 6  # symbols of a sentence at least; a shorter one goes on in the next
 PROSE = 0.25  # share of function words among the words of a training sentence
+SPOKEN = 0.6  # share of words among its symbols
+RECORD = 8  # words to each measured value of a record at most
+LOW = 0.25  # share of the bits of its segments one by one under which a whole page is abnormal
+LEAST = 40  # symbols of such a page at least
 
+_UNIT = "|".join(re.escape(u) for u in sorted(UNIT_WORDS.split(), key=lambda u: (-len(u), u)))
 _TOKEN = re.compile(
-    r"""(?P<url>(?:https?://|www\.)[^\s<>"')\]]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>"')\]]*)
-      | (?P<hash>\#\w+)
-      | (?P<num>\d+(?:[.,:/-]\d+)*(?!\w))
-      | (?P<code>[^\W_]*\d[\w/]*(?:\([a-z]\))?)
-      | (?P<word>[^\W\d_]+(?:-[^\W\d_]+)*)
-      | (?P<line>[ \t\xa0]*[\r\n]+\s*)
-      | (?P<stop>[.!?…])
-      | (?P<mark>[^\w\s])""",
+    rf"""((?:https?://|www\.)[^\s<>"')\]]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{{2,}}/[^\s<>"')\]]*|(?-i:\b(?:[a-z0-9][a-z0-9-]+\.)+[a-z]{{2,}}\b))
+      | (\#\w+)
+      | (\d+(?:[.,:/-]\d+)*[ \xa0]?(?:(?:{_UNIT})(?:[ ](?:[ad]c|m/h))?|°[ ]?[cf]?|Ω|[^\W\d_]+/[a-z]+)(?![^\W_]))
+      | (\d+(?:[.,:/-]\d+)*(?!\w))
+      | ((?:[^\W\d_]+-)*[^\W_]*\d[\w/]*(?:\([a-z]\))?)
+      | ([^\W\d_]+(?:-[^\W\d_]+)*)
+      | ([ \t\xa0]*[\r\n]+\s*)
+      | ([.!?…])
+      | [^\w\s]""",
     re.X | re.I,
 )
-_VALUE = re.compile(r"[ \xa0]?(%|°\s?[cf]?|Ω|[^\W\d_]+(?:/[a-z]+|³/h|3/h)?)(?![^\W_])", re.I)
+URL, HASH, VALUE, NUM, CODE, WORD, LINE, STOP = range(1, 9)
 _CLASS = {w: k for k, words in reversed(FUNCTION_WORDS.items()) for w in words.split()}
-_UNIT = frozenset(UNIT_WORDS.split())
 _MARKS = {",": ",", ";": ",", ":": ":", "(": "(", ")": "(", "[": "(", "]": "("} | dict.fromkeys("|/·>•*<=#~_–—-+&", "|")
-
+_PLAIN = {HASH: "H", VALUE: "V", NUM: "N", CODE: "K"}
 
 _INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
 _TWICE = re.compile("[\u00c2\u00c3][\u0080-\u00bf]")
@@ -77,199 +90,256 @@ def repaired(text: str) -> str:
     return _LEAD.sub("", _WRAP.sub("", t))
 
 
-def segments(text: str) -> list[tuple[str, int]]:
-    """(symbols, characters) of each segment: a sentence, a line, or a link by itself.
+class Words(dict):
+    """(class of a function word or '', stem) of a word as written; kept for the words a worker meets."""
 
-    A line that ends without a full stop goes on if the next one begins with a small letter or a digit."""
-    out: list[tuple[str, int]] = []
-    cur: list[str] = []
-    size = run = skip = 0
-    recent: list[str] = []
+    def __missing__(self, word: str) -> tuple[str, str]:
+        w = word.lower()
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = got = (_CLASS.get(w, ""), w[:-1] if w.endswith("s") else w)
+        return got
 
-    def close() -> None:
-        nonlocal cur, size, run
-        if cur:
-            out.append(("".join(cur), size))
-        cur, size, run = [], 0, 0
 
+_words = Words()
+
+
+def segments(text: str) -> list[tuple[str, int, str]]:
+    """(symbols, characters, words) of each segment: a sentence, a line, or a link by itself.
+
+    A line that ends in neither a full stop nor a measured value goes on if the next one begins with a small letter or a digit."""
+    out: list[tuple[str, int, str]] = []
+    cur: list[str] = []
+    said: list[str] = []
+    size = run = 0
+    recent: list[str] = []
     text = repaired(text)
     n = len(text)
     for m in _TOKEN.finditer(text):
-        kind, t, end = m.lastgroup, m.group(), m.end()
-        if m.start() < skip:
-            continue
-        if kind == "line":
-            nxt = text[end : end + 1]
-            if not (nxt.islower() or nxt.isdigit()):
-                close()
-            continue
-        if kind == "url":
-            close()
-            out.append(("U", len(t)))
-            continue
-        size += len(t)
-        if kind == "word":
-            w = t.lower()
-            k = _CLASS.get(w)
+        kind = m.lastindex
+        if kind == WORD:
+            t = m.group()
+            size += len(t)
+            k, stem = _words[t]
+            said.append(stem)
             if k:
                 cur.append(k)
                 run = 0
                 continue
-            stem = w[:-1] if w.endswith("s") else w
             run += 1
-            cur.append("R" if stem in recent else str(min(run, 5)))
+            cur.append("R" if stem in recent else "12345"[min(run, 5) - 1])
             recent.append(stem)
             if len(recent) > MEMORY:
                 del recent[0]
             continue
+        if kind == LINE:
+            nxt = text[m.end() : m.end() + 1]
+            if cur and (cur[-1] == "V" or not (nxt.islower() or nxt.isdigit())):
+                out.append(("".join(cur), size, " ".join(said)))
+                cur, said, size, run = [], [], 0, 0
+            continue
+        t = m.group()
+        if kind == URL:
+            if cur:
+                out.append(("".join(cur), size, " ".join(said)))
+                cur, said, size, run = [], [], 0, 0
+            out.append(("U", len(t), t))
+            continue
         run = 0
-        if kind == "num":
-            v = _VALUE.match(text, end)
-            if v and v.group(1).lower().replace(" ", "") in _UNIT or v and v.group(1)[0] in "%°Ω" or v and "/" in v.group(1):
-                cur.append("V")
-                size += len(v.group(1))
-                skip = v.end()
-            else:
-                cur.append("N")
-        elif kind == "code":
-            cur.append("K")
-        elif kind == "hash":
-            cur.append("H")
-        elif kind == "stop":
+        size += len(t)
+        if kind is None:
+            cur.append(_MARKS.get(t, "'"))
+        elif kind == STOP:
             cur.append(".")
-            if (end >= n or text[end].isspace()) and len(cur) >= SENTENCE:
-                close()
+            if len(cur) >= SENTENCE and (m.end() >= n or text[m.end()].isspace()):
+                out.append(("".join(cur), size, " ".join(said)))
+                cur, said, size = [], [], 0
         else:
-            cur.append(_MARKS.get(t, "'"))
-    close()
-    return out
-
-
-def measured(symbols: str) -> bool:
-    """Whether a segment is a line of measured values: at least one value to eight words, no link or tag."""
-    return "V" in symbols and "H" not in symbols and "U" not in symbols and sum(symbols.count(c) for c in "12345Rdpcnvb") <= 8 * symbols.count("V")
-
-
-def trains(symbols: str) -> bool:
-    """Whether a segment looks like a sentence of prose."""
-    if "H" in symbols or "U" in symbols:
-        return False
-    content = sum(symbols.count(c) for c in "12345R")
-    function = sum(symbols.count(c) for c in "dpcnvb")
-    return content + function >= 5 and function >= PROSE * (content + function) and symbols[-1] == "."
-
-
-def _framed(symbols: str) -> str:
-    return f"^^{symbols}$"
-
-
-def length_class(n: int) -> int:
-    return next((i for i, b in enumerate(LENGTHS) if n <= b), len(LENGTHS))
-
-
-def model_of(counts: dict[str, int]) -> dict[str, float]:
-    """Bits of every trigram over the alphabet: interpolated trigram, bigram and unigram shares."""
-    two, one, uni, ctx3 = Counter(), Counter(), Counter(), Counter()
-    for t, n in counts.items():
-        two[t[1:]] += n
-        one[t[1]] += n
-        uni[t[2]] += n
-        ctx3[t[:2]] += n
-    total = sum(uni.values()) or 1
-    alphabet = sorted({*SYMBOLS.values(), "$"})
-    out = {}
-    for a in [*alphabet, "^"]:
-        for b in [*alphabet, "^"]:
-            if a == "$" or b == "$" or (b == "^" and a != "^"):
-                continue
-            for c in alphabet:
-                p3 = counts.get(a + b + c, 0) / ctx3[a + b] if ctx3[a + b] else 0.0
-                p2 = two[b + c] / one[b] if one[b] else 0.0
-                p1 = (uni[c] + 0.5) / (total + len(alphabet))
-                out[a + b + c] = -math.log2(0.7 * p3 + 0.2 * p2 + 0.1 * p1)
+            cur.append(_PLAIN[kind])
+            said.append(t)
+    if cur:
+        out.append(("".join(cur), size, " ".join(said)))
     return out
 
 
-def bits(symbols: str, model: dict[str, float]) -> float:
-    """Mean bits of a symbol."""
-    f = _framed(symbols)
-    return sum([model[f[i : i + 3]] for i in range(len(f) - 2)]) / (len(f) - 2)
-
-
 def symbol_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, symbols, sizes): the segments of every text that has any."""
+    """(doc_id, symbols, lengths, sizes, repeats): of every text with any segment its symbols, and for each segment its symbols and characters and how many different ones stood before it if it repeats one of them, else 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, [s for s, _ in seg], [n for _, n in seg]) for i, t in zip(b["doc_id"], b["text"]) if (seg := segments(t))]
-            yield pd.DataFrame(rows, columns=["doc_id", "symbols", "sizes"])
+            rows = []
+            for i, t in zip(b["doc_id"], b["text"]):
+                segs = segments(t)
+                if segs:
+                    seen: set[str] = set()
+                    repeats = []
+                    for _, _, w in segs:
+                        repeats.append(len(seen) if w in seen else 0)
+                        seen.add(w)
+                    rows.append((i, "".join([s for s, _, _ in segs]), [len(s) for s, _, _ in segs], [n for _, n, _ in segs], repeats))
+            yield pd.DataFrame(rows, columns=["doc_id", "symbols", "lengths", "sizes", "repeats"])
 
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return texts.mapInPandas(run, "doc_id bigint, symbols array<string>, sizes array<int>")
-
-
-def train(table: DataFrame) -> dict[str, float]:
-    """The trigram model of all training segments."""
+    return texts.mapInPandas(run, "doc_id bigint, symbols string, lengths array<int>, sizes array<int>, repeats array<int>")
+
+
+ALPHABET = [*sorted(set(SYMBOLS.values())), "$", "^"]
+A = len(ALPHABET)
+_CODE = np.zeros(128, np.int64)
+_CODE[[ord(c) for c in ALPHABET]] = range(A)
+END, START = A - 2, A - 1
+
+
+def _is(symbols: str) -> np.ndarray:
+    table = np.zeros(A, np.int64)
+    table[[ALPHABET.index(c) for c in symbols]] = 1
+    return table
+
+
+CONTENT, FUNCTION, MEASURED, LINKED = _is("12345R"), _is("dpcnvb"), _is("V"), _is("HU")
+TYPES = ("prose", "record")
+
+
+@dataclass
+class Windows:
+    """All windows of a batch of texts, as arrays. trigrams are the codes of every symbol with the two before it and, at `ends`, of the end of a segment."""
+
+    trigrams: np.ndarray
+    ends: np.ndarray  # code of the end's trigram by window, -1 where the segment goes on
+    starts: np.ndarray  # first symbol by window
+    counts: np.ndarray  # symbols by window
+    chars: np.ndarray
+    kind: np.ndarray  # 0 prose, 1 record
+    trains: np.ndarray
+    doc: np.ndarray
+    repeat: np.ndarray
+
+    def bits(self, models: np.ndarray) -> np.ndarray:
+        """Bits of each window under its type's model, ends of segments included."""
+        m = models[np.repeat(self.kind, self.counts), self.trigrams]
+        total = np.add.reduceat(m, self.starts)
+        return total + np.where(self.ends >= 0, models[self.kind, np.maximum(self.ends, 0)], 0.0)
+
+    @property
+    def steps(self) -> np.ndarray:
+        return self.counts + (self.ends >= 0)
+
+    @property
+    def size_class(self) -> np.ndarray:
+        return np.searchsorted(LENGTHS, self.counts)
+
+
+def windows(b: pd.DataFrame) -> Windows:
+    """The windows of a batch of the symbol table (not empty)."""
+    lengths = np.concatenate(b["lengths"].to_list()).astype(np.int64)
+    sizes, repeat = np.concatenate(b["sizes"].to_list()).astype(float), np.concatenate(b["repeats"].to_list())
+    doc = np.repeat(np.arange(len(b)), [len(x) for x in b["lengths"]])
+    codes = _CODE[np.frombuffer("".join(b["symbols"]).encode("ascii"), np.uint8)]
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    one, two = np.concatenate([[START], codes[:-1]]), np.concatenate([[START, START], codes[:-2]])[: len(codes)]
+    one[first] = START
+    two[first] = START
+    second = first[lengths > 1] + 1
+    two[second] = START
+    trigrams = (two * A + one) * A + codes
+    last = first + lengths - 1
+    closing = (one[last] * A + codes[last]) * A + END
+    # Windows of one segment differ by one symbol at most.
+    parts = np.where(lengths <= WINDOW * 4 // 3, 1, -(-lengths // WINDOW))
+    seg = np.repeat(np.arange(len(lengths)), parts)
+    k = np.arange(len(seg)) - np.repeat(np.cumsum(parts) - parts, parts)
+    low, high = k * lengths[seg] // parts[seg], (k + 1) * lengths[seg] // parts[seg]
+    starts, counts = first[seg] + low, high - low
+    sums = lambda table: np.add.reduceat(table[codes], starts)
+    content, function, measured, linked = sums(CONTENT), sums(FUNCTION), sums(MEASURED), sums(LINKED)
+    words = content + function
+    kind = ((measured > 0) & (linked == 0) & (words <= RECORD * measured) & (function < PROSE * np.maximum(words, 1))).astype(np.int64)
+    stopped = (codes[last] == ALPHABET.index("."))[seg]
+    valued = (codes[last] == ALPHABET.index("V"))[seg] & (sums(_is(",")) == 0)
+    trains = np.where(kind == 1, valued, stopped & (linked == 0) & (words >= 5) & (words >= SPOKEN * counts) & (function >= PROSE * words))
+    return Windows(trigrams, np.where(high == lengths[seg], closing[seg], -1), starts, counts, sizes[seg] * counts / lengths[seg], kind, trains, doc[seg], repeat[seg])
+
+
+def model_of(counts: np.ndarray) -> np.ndarray:
+    """Bits of every trigram: interpolated shares of trigram, bigram and unigram."""
+    three = counts.reshape(A, A, A).astype(float)
+    two, uni = three.sum(0), three.sum((0, 1))
+    share = lambda x: np.divide(x, x.sum(-1, keepdims=True), out=np.zeros_like(x), where=x.sum(-1, keepdims=True) > 0)
+    p = 0.8 * share(three) + 0.15 * share(two)[None] + 0.05 * ((uni + 0.5) / (uni.sum() + 0.5 * A))[None, None]
+    return -np.log2(p).reshape(-1)
+
+
+def train(table: DataFrame) -> np.ndarray:
+    """The two trigram models, one row each, of all training windows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        total = np.zeros(2 * A**3, np.int64)
         for b in batches:
-            for segs in b["symbols"]:
-                for s in segs:
-                    if trains(s):
-                        f = _framed(s)
-                        total.update([f[i : i + 3] for i in range(len(f) - 2)])
-        yield pd.DataFrame(list(total.items()), columns=["trigram", "n"])
+            if len(b):
+                w = windows(b)
+                on = np.repeat(w.trains, w.counts)
+                total += np.bincount(np.repeat(w.kind, w.counts)[on] * A**3 + w.trigrams[on], minlength=2 * A**3)
+                closed = w.trains & (w.ends >= 0)
+                total += np.bincount(w.kind[closed] * A**3 + w.ends[closed], minlength=2 * A**3)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"trigram": some, "n": total[some]})
 
-    counts = table.select("symbols").mapInPandas(count, "trigram string, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
-    return model_of({r.trigram: r.n for r in counts.collect()})
+    got = table.select("symbols", "lengths", "sizes", "repeats").mapInPandas(count, "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(2 * A**3)
+    counts[got["trigram"].to_numpy(int)] = got["n"]
+    return np.stack([model_of(c) for c in counts.reshape(2, -1)])
 
 
-def ranges(table: DataFrame, model: dict[str, float]) -> list[tuple[float, float]]:
-    """The range of normal bits for each length class, from a histogram of the training segments (steps of 0.01 bits)."""
+def ranges(table: DataFrame, models: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, greatest) normal bits of a symbol by type and length class, from a histogram of the training windows (steps of 0.01 bits)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        parts = []
         for b in batches:
-            for segs in b["symbols"]:
-                total.update([(length_class(len(s)), int(bits(s, model) * 100)) for s in segs if trains(s)])
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["size", "bin", "n"])
-
-    hist = table.select("symbols").mapInPandas(count, "size int, bin int, n bigint").groupBy("size", "bin").agg(F.sum("n").alias("n")).toPandas()
-    out, every = [], hist.groupby("bin")["n"].sum()
-    for i in range(len(LENGTHS) + 1):
-        own = hist[hist["size"] == i].set_index("bin")["n"].sort_index()
-        own = own if own.sum() >= 100 else every.sort_index()
-        if not len(own):
-            out.append((0.0, math.inf))
-            continue
-        share = own.cumsum() / own.sum()
-        low, high = own.index[np.searchsorted(share, TAIL)], own.index[min(len(own) - 1, np.searchsorted(share, 1 - TAIL))]
-        out.append((low / 100 - MARGIN, (high + 1) / 100 + MARGIN))
-    return out
+            if len(b):
+                w = windows(b)
+                bins = (w.bits(models) / w.steps * 100).astype(int)
+                parts.append(pd.DataFrame({"kind": w.kind, "size": w.size_class, "bin": bins})[w.trains].value_counts().rename("n").reset_index())
+        yield pd.concat(parts).groupby(["kind", "size", "bin"], as_index=False).sum() if parts else pd.DataFrame({"kind": [], "size": [], "bin": [], "n": []})
+
+    counted = table.select("symbols", "lengths", "sizes", "repeats").mapInPandas(count, "kind bigint, size bigint, bin bigint, n bigint")
+    hist = counted.groupBy("kind", "size", "bin").agg(F.sum("n").alias("n")).toPandas()
+    low, high = np.zeros((2, len(LENGTHS) + 1)), np.full((2, len(LENGTHS) + 1), math.inf)
+    for kind in (0, 1):
+        of_kind = hist[hist["kind"] == kind] if (hist["kind"] == kind).any() else hist
+        every = of_kind.groupby("bin")["n"].sum().sort_index()
+        for size in range(len(LENGTHS) + 1):
+            own = of_kind[of_kind["size"] == size].groupby("bin")["n"].sum().sort_index()
+            own = own if own.sum() >= ENOUGH else every
+            if len(own):
+                share = own.cumsum() / own.sum()
+                low[kind, size] = own.index[np.searchsorted(share, TAIL)] / 100
+                high[kind, size] = (own.index[min(len(own) - 1, np.searchsorted(share, 1 - TAIL))] + 1) / 100
+    return low, high
 
 
 def score_pages(docs: DataFrame) -> DataFrame:
-    """(doc_id, bits, abnormal_share, flagged): mean bits of a symbol, share of the characters in abnormal segments, and whether it is over a half."""
+    """(doc_id, bits, abnormal_share, flagged): mean bits of a symbol, repeated segments counted by what names them, share of the characters in abnormal windows, and whether the page is one of keywords, links or tags."""
     table = keep(symbol_table(docs))
-    model = train(table)
-    limits = ranges(table, model)
+    models = train(table)
+    low, high = ranges(table, models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, segs, sizes in zip(b["doc_id"], b["symbols"], b["sizes"]):
-                odd = total = symbols = 0
-                spent = 0.0
-                for s, n in zip(segs, sizes):
-                    x = bits(s, model)
-                    low, high = limits[length_class(len(s))]
-                    total += n
-                    symbols += len(s)
-                    spent += x * len(s)
-                    if not (low <= x <= high or measured(s)):
-                        odd += n
-                rows.append((i, round(spent / symbols, 4), round(odd / total, 4), odd * 2 > total))
-            yield pd.DataFrame(rows, columns=["doc_id", "bits", "abnormal_share", "flagged"])
+            if not len(b):
+                continue
+            w = windows(b)
+            spent = w.bits(models)
+            mean, size = spent / w.steps, w.size_class
+            odd = (mean < low[w.kind, size]) | (mean > high[w.kind, size])
+            total, abnormal = np.bincount(w.doc, w.chars), np.bincount(w.doc, w.chars * odd)
+            # A segment's windows share the bits of naming it.
+            named = np.where(w.repeat > 0, np.log2(w.repeat + 1.0) * w.steps / np.maximum(w.steps, WINDOW), spent)
+            symbols, alone = np.bincount(w.doc, w.steps), np.bincount(w.doc, spent)
+            bits = np.bincount(w.doc, np.minimum(named, spent))
+            share = abnormal / total
+            flagged = (share > 0.5) | ((bits < LOW * alone) & (symbols >= LEAST))
+            bits = bits / symbols
+            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "bits": bits.round(4), "abnormal_share": share.round(4), "flagged": flagged})
 
     return table.mapInPandas(run, "doc_id bigint, bits double, abnormal_share double, flagged boolean")

@@ -149,6 +149,42 @@ def test_pages(spark):
     assert score_pages(df.limit(0)).count() == 0
 
 
+STUFFED = {
+    "values between commas": lambda w, r: ", ".join(f"{w()} {r.choice([12, 24, 48])} V" for _ in range(40)),
+    "values and offers": lambda w, r: ", ".join(f"cheap {w()} 12 W best price" for _ in range(30)),
+    "value lines of few names": lambda w, r: "\n".join(f"{r.choice(['horn strobe', 'smoke panel', 'relay sensor'])} 24 V" for _ in range(60)),
+    "prices": lambda w, r: " | ".join(f"{w()} $ {r.randint(5, 99)}.99" for _ in range(40)),
+    "one sentence": lambda w, r: "Buy the horn strobe for the control panel in Selmere. " * 42,
+    "function words": lambda w, r: " ".join(r.choice("the of and to in for with best cheap buy".split()) for _ in range(150)),
+    "bare domains": lambda w, r: " ".join(f"{r.choice(['cheap', 'new'])}-{r.choice(['horn', 'relay'])}.example" for _ in range(40)),
+    "link titles": lambda w, r: "\n".join(f"{w().title()} Catalogue" for _ in range(40)),
+    "marked links": lambda w, r: "\n".join(f"- [{w().title()}](http://a.example/{i})" for i in range(30)),
+    "product tags": lambda w, r: "Filed under: " + ",".join(f"{w()} {r.choice(['sale', 'offer', 'deal'])}" for _ in range(60)),
+    "codes": lambda w, r: "See also: " + " / ".join(f"VX-{r.randint(100000, 139999)}" for _ in range(60)),
+}
+SOUND = {
+    "tables": lambda w, r: "\n".join(f"{k}: {r.randint(1, 900)} {u}" for k, u in r.sample([("Rated power", "W"), ("Air flow", "m³/h"), ("Housing depth", "mm"), ("Line impedance", "ohm"), ("Net weight", "g"), ("Standby current", "mA")], 6)),
+    "logs": lambda w, r: "\n".join(f"2025-03-{r.randint(10, 28)} 12:{r.randint(10, 59)} The panel in zone {r.randint(1, 60)} was reset by the guard after {r.randint(2, 50)} seconds." for _ in range(15)),
+    "links with sentences": lambda w, r: "\n".join(f"http://a.example/{i} This page explains how the zones are grouped and which of them may share a riser." for i in range(8)),
+}
+
+
+def test_page_families_that_the_data_lack(spark):
+    """Families of pages written for this test, among real documents: recall at least 0.95 of each, no sound page flagged but by chance."""
+    rng, rows, family = random.Random(3), [], {}
+    names = [f"{a} {b}" for a in ("horn", "smoke", "control", "duct", "relay", "beam") for b in ("strobe", "panel", "sensor", "module")]
+    for group in (STUFFED, SOUND):
+        for name, make in group.items():
+            for _ in range(20):
+                rows.append((10**9 + len(rows), make(lambda: rng.choice(names), rng)))
+                family[rows[-1][0]] = name
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id for r in score_pages(docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))).where("flagged").collect()}
+    share = {n: sum(i in found for i, k in family.items() if k == n) / 20 for n in family.values()}
+    assert all(share[n] >= 0.95 for n in STUFFED), share
+    assert all(share[n] <= 0.05 for n in SOUND), share
+
+
 def test_repaired_text():
     assert repaired("comp-\nuerta rÃ©seau​") == "compuerta réseau"
     assert segments("") == []
