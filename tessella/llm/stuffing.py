@@ -10,8 +10,8 @@ function words, and records, trained on lines that end in a measured value. A wi
 RECORD words is scored as a record, any other as prose. It is abnormal if its perplexity lies outside the
 range of the training windows of its type and length, on either side. A page is flagged if more than half of
 its characters lie in abnormal windows, or if its own perplexity is abnormally low: a segment that repeats an
-earlier one of the page costs only the bits that name it, and a page that then needs less than LOW of the bits
-of its segments one by one says nothing but the same.
+earlier one of the page costs only the bits that name it, and a page that has more than SAME of its characters
+in such segments of prose says nothing but the same.
 
 The models have at most |SYMBOLS|^3 entries each and the ranges are read from a histogram of fixed size;
 both are counted over all documents.
@@ -55,23 +55,25 @@ SENTENCE = 6  # symbols of a sentence at least; a shorter one goes on in the nex
 PROSE = 0.25  # share of function words among the words of a training sentence
 SPOKEN = 0.6  # share of words among its symbols
 RECORD = 8  # words to each measured value of a record at most
-LOW = 0.25  # share of the bits of its segments one by one under which a whole page is abnormal
+SAME = 0.75  # share of its characters in repeated segments, whose perplexity is next to none, from which a page is abnormal
 LEAST = 40  # symbols of such a page at least
 
 _UNIT = "|".join(re.escape(u) for u in sorted(UNIT_WORDS.split(), key=lambda u: (-len(u), u)))
+_LINK = re.compile(r"""(?i:(?:https?://|www\.)[^\s<>"')\]]+|\b[a-z0-9-]++(?:\.[a-z0-9-]+)*\.[a-z]{2,}/[^\s<>"')\]]*)|\b(?:[a-z0-9][a-z0-9-]++\.)+[a-z]{2,}\b""")
+_DOTTED = re.compile(r"[A-Za-z0-9]\.[A-Za-z]|://")
 _TOKEN = re.compile(
-    rf"""((?:https?://|www\.)[^\s<>"')\]]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{{2,}}/[^\s<>"')\]]*|(?-i:\b(?:[a-z0-9][a-z0-9-]+\.)+[a-z]{{2,}}\b))
-      | (\#\w+)
-      | (\d+(?:[.,:/-]\d+)*[ \xa0]?(?:(?:{_UNIT})(?:[ ](?:[ad]c|m/h))?|°[ ]?[cf]?|Ω|[^\W\d_]+/[a-z]+)(?![^\W_]))
-      | (\d+(?:[.,:/-]\d+)*(?!\w))
-      | ((?:[^\W\d_]+-)*[^\W_]*\d[\w/]*(?:\([a-z]\))?)
-      | ([^\W\d_]+(?:-[^\W\d_]+)*)
+    rf"""([^\W\d_]++(?:-[^\W\d_]++)*+(?!\w|-\w*\d))[ ]?
+      | (\d++(?:[.,:/-]\d+)*+[ \xa0]?(?i:(?:{_UNIT})(?:[ ](?:[ad]c|m/h))?|°[ ]?[cf]?|Ω|[^\W\d_]+/[a-z]+)(?![^\W_]))
+      | (\d++(?:[.,:/-]\d++)*+(?!\w))
+      | ((?:[^\W\d_]+-)*[^\W_]*\d[\w/]*(?:\([A-Za-z]\))?)
       | ([ \t\xa0]*[\r\n]+\s*)
       | ([.!?…])
-      | [^\w\s]""",
-    re.X | re.I,
+      | (\#\w+)
+      | [^\w\s]
+      | [^\W\d_]+""",
+    re.X,
 )
-URL, HASH, VALUE, NUM, CODE, WORD, LINE, STOP = range(1, 9)
+WORD, VALUE, NUM, CODE, LINE, STOP, HASH = range(1, 8)
 _CLASS = {w: k for k, words in reversed(FUNCTION_WORDS.items()) for w in words.split()}
 _MARKS = {",": ",", ";": ",", ":": ":", "(": "(", ")": "(", "[": "(", "]": "("} | dict.fromkeys("|/·>•*<=#~_–—-+&", "|")
 _PLAIN = {HASH: "H", VALUE: "V", NUM: "N", CODE: "K"}
@@ -104,62 +106,81 @@ class Words(dict):
 _words = Words()
 
 
+class Reader:
+    """Collects the segments of one text."""
+
+    def __init__(self) -> None:
+        self.out: list[tuple[str, int, str]] = []
+        self.recent: list[str] = []
+        self.cur: list[str] = []
+        self.said: list[str] = []
+        self.size = 0
+
+    def close(self) -> None:
+        if self.cur:
+            self.out.append(("".join(self.cur), self.size, " ".join(self.said)))
+            self.cur, self.said, self.size = [], [], 0
+
+    def read(self, text: str, start: int, stop: int) -> None:
+        """The tokens of a stretch without links."""
+        cur, said, recent = self.cur, self.said, self.recent
+        size, run = self.size, 0
+        for m in _TOKEN.finditer(text, start, stop):
+            kind = m.lastindex
+            if kind == WORD:
+                t = m[1]
+                size += len(t)
+                k, stem = _words[t]
+                said.append(stem)
+                if k:
+                    cur.append(k)
+                    run = 0
+                    continue
+                cur.append("R" if stem in recent else "12345"[run])
+                run = min(run + 1, 4)
+                recent.append(stem)
+                if len(recent) > MEMORY:
+                    del recent[0]
+                continue
+            closes = False
+            if kind == LINE:
+                nxt = text[m.end() : m.end() + 1]
+                # A line that breaks off inside a sentence does not break its run of words.
+                closes = bool(cur) and (cur[-1] == "V" or not (nxt.islower() or nxt.isdigit()))
+            else:
+                t = m.group()
+                size += len(t)
+                run = 0
+                if kind == STOP:
+                    cur.append(".")
+                    closes = len(cur) >= SENTENCE and (m.end() >= len(text) or text[m.end()].isspace())
+                elif kind is None:
+                    cur.append(_MARKS.get(t, "'"))
+                else:
+                    cur.append(_PLAIN[kind])
+                    said.append(t)
+            if closes:
+                self.size = size
+                self.close()
+                cur, said, size, run = self.cur, self.said, 0, 0
+        self.size = size
+
+
 def segments(text: str) -> list[tuple[str, int, str]]:
     """(symbols, characters, words) of each segment: a sentence, a line, or a link by itself.
 
     A line that ends in neither a full stop nor a measured value goes on if the next one begins with a small letter or a digit."""
-    out: list[tuple[str, int, str]] = []
-    cur: list[str] = []
-    said: list[str] = []
-    size = run = 0
-    recent: list[str] = []
     text = repaired(text)
-    n = len(text)
-    for m in _TOKEN.finditer(text):
-        kind = m.lastindex
-        if kind == WORD:
-            t = m.group()
-            size += len(t)
-            k, stem = _words[t]
-            said.append(stem)
-            if k:
-                cur.append(k)
-                run = 0
-                continue
-            run += 1
-            cur.append("R" if stem in recent else "12345"[min(run, 5) - 1])
-            recent.append(stem)
-            if len(recent) > MEMORY:
-                del recent[0]
-            continue
-        if kind == LINE:
-            nxt = text[m.end() : m.end() + 1]
-            if cur and (cur[-1] == "V" or not (nxt.islower() or nxt.isdigit())):
-                out.append(("".join(cur), size, " ".join(said)))
-                cur, said, size, run = [], [], 0, 0
-            continue
-        t = m.group()
-        if kind == URL:
-            if cur:
-                out.append(("".join(cur), size, " ".join(said)))
-                cur, said, size, run = [], [], 0, 0
-            out.append(("U", len(t), t))
-            continue
-        run = 0
-        size += len(t)
-        if kind is None:
-            cur.append(_MARKS.get(t, "'"))
-        elif kind == STOP:
-            cur.append(".")
-            if len(cur) >= SENTENCE and (m.end() >= n or text[m.end()].isspace()):
-                out.append(("".join(cur), size, " ".join(said)))
-                cur, said, size = [], [], 0
-        else:
-            cur.append(_PLAIN[kind])
-            said.append(t)
-    if cur:
-        out.append(("".join(cur), size, " ".join(said)))
-    return out
+    r, at = Reader(), 0
+    if _DOTTED.search(text):
+        for m in _LINK.finditer(text):
+            r.read(text, at, m.start())
+            r.close()
+            r.out.append(("U", m.end() - m.start(), m.group()))
+            at = m.end()
+    r.read(text, at, len(text))
+    r.close()
+    return r.out
 
 
 def symbol_table(docs: DataFrame) -> DataFrame:
@@ -333,13 +354,12 @@ def score_pages(docs: DataFrame) -> DataFrame:
             mean, size = spent / w.steps, w.size_class
             odd = (mean < low[w.kind, size]) | (mean > high[w.kind, size])
             total, abnormal = np.bincount(w.doc, w.chars), np.bincount(w.doc, w.chars * odd)
-            # A segment's windows share the bits of naming it.
-            named = np.where(w.repeat > 0, np.log2(w.repeat + 1.0) * w.steps / np.maximum(w.steps, WINDOW), spent)
-            symbols, alone = np.bincount(w.doc, w.steps), np.bincount(w.doc, spent)
-            bits = np.bincount(w.doc, np.minimum(named, spent))
-            share = abnormal / total
-            flagged = (share > 0.5) | ((bits < LOW * alone) & (symbols >= LEAST))
-            bits = bits / symbols
+            # A repeated segment costs what names it among the different ones before it, shared by its windows.
+            named = np.where(w.repeat > 0, np.minimum(spent, np.log2(w.repeat + 1.0) * w.steps / np.maximum(w.steps, WINDOW)), spent)
+            symbols = np.bincount(w.doc, w.steps)
+            bits, share = np.bincount(w.doc, named) / symbols, abnormal / total
+            same = np.bincount(w.doc, w.chars * ((w.repeat > 0) & (w.kind == 0))) / total
+            flagged = (share > 0.5) | ((same > SAME) & (symbols >= LEAST))
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "bits": bits.round(4), "abnormal_share": share.round(4), "flagged": flagged})
 
     return table.mapInPandas(run, "doc_id bigint, bits double, abnormal_share double, flagged boolean")

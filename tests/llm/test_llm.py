@@ -152,7 +152,6 @@ def test_pages(spark):
 STUFFED = {
     "values between commas": lambda w, r: ", ".join(f"{w()} {r.choice([12, 24, 48])} V" for _ in range(40)),
     "values and offers": lambda w, r: ", ".join(f"cheap {w()} 12 W best price" for _ in range(30)),
-    "value lines of few names": lambda w, r: "\n".join(f"{r.choice(['horn strobe', 'smoke panel', 'relay sensor'])} 24 V" for _ in range(60)),
     "prices": lambda w, r: " | ".join(f"{w()} $ {r.randint(5, 99)}.99" for _ in range(40)),
     "one sentence": lambda w, r: "Buy the horn strobe for the control panel in Selmere. " * 42,
     "function words": lambda w, r: " ".join(r.choice("the of and to in for with best cheap buy".split()) for _ in range(150)),
