@@ -32,25 +32,45 @@ def bfs(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def hops_to(edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """(node, hops): the least distance of every node to any goal (column node), over the undirected edges until nothing new is reached.
+
+    One breadth-first search from all goals at once, so its cost does not grow with the number of starts."""
+    both = cut(undirected(edges))
+    front = seen = cut(goals.select("node").distinct().withColumn("hops", F.lit(0)))
+    h = 0
+    while not front.isEmpty():
+        h += 1
+        step = front.join(both, front["node"] == both["src"]).select(F.col("dst").alias("node")).distinct()
+        front = cut(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(h)))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): weakly connected components, named by their least node.
 
-    Alternates large-star and small-star steps, so that chains shrink in a logarithmic number of rounds; a hub's
-    neighbours are rewritten to its least neighbour and never gathered in one task."""
+    Alternates large-star and small-star steps until nothing changes, so that chains shrink in a logarithmic number of
+    rounds; a hub's neighbours are rewritten to its least neighbour and never gathered in one task. A round runs one
+    write and one aggregate, which tells by count and hashes whether the links are those of the round before."""
     pairs = cut(edges.select("src", "dst").where("src is not null and dst is not null"))
     loops = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    links = cut(undirected(pairs).where("src > dst"))
-    for _ in range(rounds):
+    links = undirected(pairs).where("src > dst")
+    mark = None
+    while True:
         both = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = cut(both.join(least, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct())
+        large = both.join(least, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+        large = cut(large)
         least2 = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(least2, "src").select(F.when(F.col("dst") == F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
-        fresh = cut(small)
-        same = fresh.count() == links.count() and fresh.join(links, ["src", "dst"], "left_anti").isEmpty()
-        links = fresh
-        if same:
+        links = cut(small)
+        # Two independent sums of hashes: equal ones of different link sets would need a collision in both.
+        sums = [F.sum(F.xxhash64(F.lit(k), "src", "dst").cast("decimal(38,0)")) for k in (1, 2)]
+        now = tuple(links.agg(F.count("*"), *sums).first())
+        if now == mark:
             break
+        mark = now
     return loops.join(links.select(F.col("src").alias("node"), F.col("dst").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.session import cut
+from tessella.session import keep
 
 
 def quote(text: str) -> str:
@@ -147,9 +147,9 @@ class SparkDialect(Dialect):
         self.folder, self.session = folder, spark
 
     def once(self, name: str, ctes: str) -> str:
-        """The last of some CTEs written once, so that what follows neither repeats nor inlines its expressions."""
+        """The last of some CTEs computed once when the query runs, so that what follows neither repeats nor inlines its expressions; nothing runs while the text is written."""
         view = f"{name}_{uuid.uuid4().hex}"
-        cut(self.session.sql(f"with {ctes} select * from {name}")).createOrReplaceTempView(view)
+        keep(self.session.sql(f"with {ctes} select * from {name}")).createOrReplaceTempView(view)
         return f"{name} as (select * from {view})"
 
     def t(self, name: str) -> str:

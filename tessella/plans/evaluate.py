@@ -6,12 +6,15 @@ The graph system is the model `graph_walk`, the vector system `dense_small`.
 
 from __future__ import annotations
 
-from tessella.plans.dialect import Dialect, both, quote
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.operators.bootstrap import bootstrap
+from tessella.plans.dialect import Dialect, both, quote, spark_query
 
 # Stop words of the token sets, query classes that count as hard, class points, error phrases.
 STOPWORDS = "a an and are as be by can does for from how in is it of on or that the this to what when where which with".split()
 HARD = ["multi_hop", "comparison", "global_thematic", "relationship_reasoning"]
-POINTS = {"local_specific": 0, "global_specific": 1, "local_global": 1, "comparison": 2, "multi_hop": 2, "global_thematic": 2, "relationship_reasoning": 2}
+POINTS = {"single_hop_fact": 0, "local_specific": 0, "manual_curated": 1, "comparison": 2, "multi_hop": 2, "relationship_reasoning": 2, "theme_summary": 2, "global_specific": 2, "global_thematic": 3}
 ERRORS = ["error code", "rate limit", "rate_limit", "authenticationerror", "apierror", "badrequesterror", "timeout", "exception", "traceback"]
 NOT_FOUND = "not found in provided context"
 METRICS = ["answer_correctness", "faithfulness", "answer_relevancy", "entity_recall", "context_precision"]
@@ -242,15 +245,18 @@ def q6_cost(q: Dialect) -> str:
     select model_name, count(*) as n_rows, cast(sum(coalesce(latency_ms, 0)) as bigint) as latency_ms, cast(sum(tok) as bigint) as est_tokens, round(cast(sum(tok) as double) / 1000000 * 0.5, 8) as est_cost from t group by model_name"""
 
 
-def p1_bootstrap_rates(q: Dialect) -> str:
-    """Percentile intervals of the win rate by class: 200 resamples with replacement, drawn by a portable hash."""
-    draw = q.hash_int("concat(query_class, ':', rep, ':', k)")
-    reps = f"select {q.explode(q.seq('1', '200'))} as rep"
-    return f"""with r as (select id, query_class, case when winner = 'graph' then 1 else 0 end as won from ({o9_rows(q)}) x where query_class is not null),
-    numbered as (select query_class, won, row_number() over (partition by query_class order by id) - 1 as k, count(*) over (partition by query_class) as n from r),
-    reps as ({reps}), draws as (select query_class, rep, {draw} % n as pick from numbered cross join reps where n >= 5),
-    means as (select d.query_class, d.rep, cast(sum(b.won) as double) / count(*) as rate from draws d join numbered b on d.query_class = b.query_class and d.pick = b.k group by d.query_class, d.rep)
-    select query_class, round({q.percentile("rate", 0.025)}, 6) as low, round({q.percentile("rate", 0.975)}, 6) as high, count(*) as resamples from means group by query_class"""
+def stat1_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    """Percentile intervals of both systems' win rates, of the score delta and of the five metrics by class, from 1000 resamples; small classes are reported as insufficient."""
+    out = [f"{p}_{m}" for p in ("graph", "vector") for m in METRICS]
+    rows = spark_query(o9_rows)(spark, d).where("query_class is not null")
+    rows = rows.selectExpr("query_class", "cast(winner = 'graph' as int) as graph_win_rate", "cast(winner = 'vector' as int) as vector_win_rate", "graph_score - vector_score as score_delta", *out)
+    return bootstrap(rows, "query_class", ["graph_win_rate", "vector_win_rate", "score_delta", *out])
+
+
+def stat2_counts(q: Dialect) -> str:
+    """Classes whose intervals are given and those with too few rows."""
+    return f"""with r as ({o9_rows(q)}), n as (select query_class, count(*) as n_rows from r where query_class is not null group by query_class)
+    select case when n_rows < 5 then 'insufficient_n_for_ci' else 'ok' end as status, count(*) as classes, cast(sum(n_rows) as bigint) as n_rows from n group by case when n_rows < 5 then 'insufficient_n_for_ci' else 'ok' end"""
 
 
 def p3_kappa(q: Dialect) -> str:
@@ -297,7 +303,8 @@ def r3_convert(q: Dialect) -> str:
 
 
 DUAL = [o9_rows, g1_class_summary, g2_global, g3_metric_win, g5_pivot, g16_argmax, o10_hits, g22_recall, o11_coverage, o12_interpret, o13_contain, q1_audit, q2_quality, g21_flags, q3_queue, q4_difficulty, q5_disagree, q6_cost, p3_kappa, b2_context_texts, e5_signals, f1_left_merge, b16_bad_json, b17_ref_check, b15_dup_ids, r3_convert]
-QUERIES, ORACLES = both({f.__name__: f for f in DUAL} | {"stat1_bootstrap": p1_bootstrap_rates, "stat3_kappa": p3_kappa})
+QUERIES, ORACLES = both({f.__name__: f for f in DUAL} | {"stat2_counts": stat2_counts, "stat3_kappa": p3_kappa})
+QUERIES["stat1_bootstrap"] = stat1_bootstrap
 # Names that begin with p and a number belong to the data-preparation problems.
 for _named in (QUERIES, ORACLES):
     _named.pop("p3_kappa")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -12,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Rows up to which a dimension table may be broadcast; beyond it the join is left to the planner.
 BROADCAST_ROWS = 200_000
 
 
-def get_spark(app: str = "tessella", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A local session with the settings the tests and the benchmark use."""
-    spark = (
+def get_spark(app: str = "tessella", cpus: int | str = "*", partitions: int = 8, checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session with the settings the tests and the benchmark use. Written intermediate tables go to checkpoint_dir; without it, to a temporary folder that is deleted when Python ends."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -28,8 +31,8 @@ def get_spark(app: str = "tessella", cpus: int | str = "*", partitions: int = 8)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    spark = (builder.config(CHECKPOINT_DIR, checkpoint_dir) if checkpoint_dir else builder).getOrCreate()
     ship(spark)
     return spark
 
@@ -65,22 +68,52 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; taken from the session, set to a temporary one only where none is set."""
-    said = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, as the session names it.
+
+    Only a local session, whose executors are this machine, may go without; on a cluster a missing folder is an error,
+    since a folder of one machine would lose or split the data."""
+    said = spark.conf.get(CHECKPOINT_DIR, None)
     if said:
         return said
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    return f"file://{tempfile.mkdtemp(prefix='tessella-')}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
+    if (app := spark.sparkContext.applicationId) not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
+    return f"file://{_local[app]}"
+
+
+_local: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, name: str = "tessella") -> str:
+    """A new path in the shared folder, which `release` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again, which ends its lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables this application wrote to the shared folder and drops what `keep` holds; results that still read them must be consumed before."""
+    spark.catalog.clearCache()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    if paths:
+        context = spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs.Path
+        for p in map(hadoop, paths):
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def keep(df: DataFrame) -> DataFrame:
