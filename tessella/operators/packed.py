@@ -7,10 +7,12 @@ delimiter inside enters the dictionary only if it also stands somewhere as one a
 seen once would become a value of its own. Quoted spans, spans in
 parentheses, fractions before a unit and known names are atomic: no candidate delimiter lies in them.
 
-The dictionary that is sent to the tasks holds the DICTIONARY most frequent values per column and names
-are sent as a set only if there are at most NAMES of them; the learned weights of rarer values and more
+The dictionary that is broadcast holds the DICTIONARY most frequent values per column and names are
+broadcast as a set only if there are at most NAMES of them; the learned weights of rarer values and more
 names are joined to the texts that hold them, so both bounds leave the result as it is. Only values that
-were not learned get a probability by their length.
+were not learned get a probability by their length. How many atoms a value may span is learned too: the
+atoms of the longest name and of the longest value that stands as one atom (REACH at least), so no known value is
+too long to be found.
 
 Defined results: null, empty and blank texts and texts of one value give no row; blank members do not
 count; unclosed quotes and brackets are read as plain characters; rows delivered twice count once.
@@ -22,8 +24,10 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +35,9 @@ from tessella.operators.units import field_lookup, squash
 from tessella.session import cut, keep, small
 
 DICTIONARY = 50_000
-NAMES = 500_000
+NAMES = 200_000
 ROUNDS = 2  # passes of expectation-maximisation
-MERGE = 4  # atoms that one value may span at most beyond a certain delimiter
+REACH = 4  # atoms that an unlearned value may span; learned ones and names may span as many as they have
 SPLIT, JOIN = math.log(0.95), math.log(0.05)
 UNKNOWN, PER_CHAR = math.log(0.1), -1.5
 
@@ -71,8 +75,8 @@ def item(text: str) -> str:
     return t.strip()
 
 
-def lattice(text: str, known: Callable[[str], bool]) -> tuple[list[str], list[str]]:
-    """(atoms, cuts): cuts[i] is the candidate delimiter between atoms i and i + 1."""
+def lattice(text: str, known: Callable[[str], bool], longest: int | None = None) -> tuple[list[str], list[str]]:
+    """(atoms, cuts): cuts[i] is the candidate delimiter between atoms i and i + 1. If `longest` is given, no known name has more atoms."""
     t = unwrap(text)
     atoms, cuts, now, quoted = [], [], "", False
     at = 0
@@ -97,13 +101,14 @@ def lattice(text: str, known: Callable[[str], bool]) -> tuple[list[str], list[st
             now += piece
             quoted = kind == "quoted"
     atoms.append(now)
-    if len(atoms) == 1:
+    longest = len(atoms) if longest is None else longest
+    if len(atoms) == 1 or longest < 2:
         return atoms, cuts
     # Names hold their delimiters: the longest known span from each atom on becomes one atom.
     out, between, i = [], [], 0
     while i < len(atoms):
         end = i
-        for j in range(min(len(atoms) - 1, i + MERGE), i, -1):
+        for j in range(min(len(atoms), i + longest) - 1, i, -1):
             if known(span(atoms, cuts, i, j)):
                 end = j
                 break
@@ -119,12 +124,13 @@ def span(atoms: list[str], cuts: list[str], i: int, j: int) -> str:
 
 
 _HARD = re.compile(r"[|;\t\n]")
+_CUTS = re.compile(r"[|;,/&+\t\n]|\sand\s|\w_\w*\s")
 
 
-def _edges(atoms: list[str], cuts: list[str], score: Callable[[str], float]) -> Iterator[tuple[int, int, str, float]]:
-    """The lattice's edges (from, to, value, log weight); a value never spans a bar, semicolon, tab or line end."""
+def _edges(atoms: list[str], cuts: list[str], score: Callable[[str], float], reach: int = REACH) -> Iterator[tuple[int, int, str, float]]:
+    """The lattice's edges (from, to, value, log weight), at most `reach` atoms long; a value never spans a bar, semicolon, tab or line end."""
     for i in range(len(atoms)):
-        for j in range(i, min(len(atoms), i + MERGE)):
+        for j in range(i, min(len(atoms), i + reach)):
             if j > i and (_HARD.search(cuts[j - 1]) or not atoms[j].strip() or not atoms[i].strip()):
                 break
             value = item(span(atoms, cuts, i, j))
@@ -138,10 +144,10 @@ def scorer(model: dict[str, float], rare: dict[str, float] | None = None) -> Cal
     return lambda v: model[v] if v in model else UNKNOWN + PER_CHAR * len(v)
 
 
-def viterbi(atoms: list[str], cuts: list[str], score: Callable[[str], float]) -> list[str]:
+def viterbi(atoms: list[str], cuts: list[str], score: Callable[[str], float], reach: int = REACH) -> list[str]:
     """The values of the best path."""
     best: list[tuple[float, int, str]] = [(0.0, -1, "")] + [(-math.inf, -1, "")] * len(atoms)
-    for i, j, value, w in _edges(atoms, cuts, score):
+    for i, j, value, w in _edges(atoms, cuts, score, reach):
         if best[i][0] + w > best[j][0]:
             best[j] = (best[i][0] + w, i, value)
     out, at = [], len(atoms)
@@ -151,13 +157,13 @@ def viterbi(atoms: list[str], cuts: list[str], score: Callable[[str], float]) ->
     return out[::-1]
 
 
-def expected(atoms: list[str], cuts: list[str], score: Callable[[str], float], add: Callable[[str, bool, float], None]) -> None:
+def expected(atoms: list[str], cuts: list[str], score: Callable[[str], float], add: Callable[[str, bool, float], None], reach: int = REACH) -> None:
     """Forward-backward: adds to each value the probability that it is on the path, apart for one atom and for several joined."""
     if len(atoms) == 1:
         if value := item(atoms[0]):
             add(value, False, 1.0)
         return
-    edges = list(_edges(atoms, cuts, score))
+    edges = list(_edges(atoms, cuts, score, reach))
     n = len(atoms)
     plus = lambda a, b: b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
     ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
@@ -171,11 +177,25 @@ def expected(atoms: list[str], cuts: list[str], score: Callable[[str], float], a
             add(value, j - i > 1, p)
 
 
-def _known(names: frozenset[str] | None, row_names) -> Callable[[str], bool]:
-    if names is not None:
-        return names.__contains__
-    own = frozenset(row_names if row_names is not None else ())
-    return own.__contains__
+@dataclass
+class Names:
+    """The names that hold delimiters: broadcast as a set, or joined to the texts; and the atoms of the longest."""
+
+    held: Broadcast | None
+    longest: int
+
+    def of(self, row_names) -> Callable[[str], bool]:
+        return self.held.value.__contains__ if self.held is not None else frozenset(row_names if row_names is not None else ()).__contains__
+
+
+@dataclass
+class Model:
+    """What was learned: per field the log weights of the most frequent values (broadcast) and how many atoms a value may span; rarer values as a table (field, value, weight), null if there are none."""
+
+    held: Broadcast | None
+    reach: dict[str, int]
+    full: frozenset[str]
+    rare: DataFrame | None
 
 
 def packed_texts(questions: DataFrame, records: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -186,101 +206,115 @@ def packed_texts(questions: DataFrame, records: DataFrame, catalog: DataFrame) -
     return asked.unionByName(valued).where(F.col("text").isNotNull() & (F.trim("text") != "") & F.col("row_key").isNotNull())
 
 
-def _with_names(texts: DataFrame, products: DataFrame) -> tuple[DataFrame, frozenset[str] | None]:
-    """The names as a set if there are at most NAMES, else null and the texts with their own names found by a join."""
+def _plain(_: str) -> bool:
+    return False
+
+
+def _atoms(text: str) -> int:
+    return len(lattice(text, _plain, 0)[0])
+
+
+def _with_names(texts: DataFrame, products: DataFrame) -> tuple[DataFrame, Names]:
+    """The texts, with their own names found by a join if there are more than NAMES names, and the names."""
     names = products.select(F.trim("product_name").alias("name")).where(F.col("name").rlike(r"[,/&+|;\s]")).distinct()
+
+    def longest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"n": [max([_atoms(x) for b in batches for x in b["name"]], default=0)]})
+
     if names.limit(NAMES + 1).count() <= NAMES:
-        return texts.withColumn("names", F.lit(None).cast("array<string>")), frozenset(r.name for r in names.collect())
+        held = frozenset(r.name for r in names.collect())
+        return texts.withColumn("names", F.lit(None).cast("array<string>")), Names(texts.sparkSession.sparkContext.broadcast(held), max(map(_atoms, held), default=0))
+    most = names.mapInPandas(longest, "n bigint").agg(F.max("n").alias("n")).first().n or 0
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows = set()
             for f, k, t in zip(b["field"], b["row_key"], b["text"]):
-                atoms, cuts = lattice(t, lambda _: False)
-                rows += {(f, k, span(atoms, cuts, i, j)) for i in range(len(atoms)) for j in range(i + 1, min(len(atoms), i + MERGE + 1))}
-            yield pd.DataFrame(rows, columns=["field", "row_key", "name"])
+                atoms, cuts = lattice(t, _plain, 0)
+                rows |= {(f, k, span(atoms, cuts, i, j)) for i in range(len(atoms)) for j in range(i + 1, min(len(atoms), i + most))}
+            yield pd.DataFrame(list(rows), columns=["field", "row_key", "name"])
 
     own = texts.mapInPandas(spans, "field string, row_key string, name string").join(names, "name", "left_semi").groupBy("field", "row_key").agg(F.collect_set("name").alias("names"))
-    return texts.join(own, ["field", "row_key"], "left"), None
+    return texts.join(own, ["field", "row_key"], "left"), Names(None, most)
 
 
-def _with_rare(texts: DataFrame, names: frozenset[str] | None, model: dict[str, dict[str, float]], rare: DataFrame | None) -> DataFrame:
+def _with_rare(texts: DataFrame, names: Names, model: Model) -> DataFrame:
     """The texts with the learned weights of their own lattice's values that the dictionary does not hold (two arrays, null where there are none)."""
-    if rare is None:
+    if model.rare is None:
         return texts.withColumns({"rare": F.lit(None).cast("array<string>"), "weights": F.lit(None).cast("array<double>")})
-    full = frozenset(f for f, m in model.items() if len(m) >= DICTIONARY)
+    held, reach, full = model.held, model.reach, model.full
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = set()
             for f, k, t, own in zip(b["field"], b["row_key"], b["text"], b["names"]):
                 if f in full:
-                    atoms, cuts = lattice(t, _known(names, own))
+                    atoms, cuts = lattice(t, names.of(own), names.longest)
                     if len(atoms) > 1:
-                        rows |= {(f, k, v) for _, _, v, _ in _edges(atoms, cuts, lambda _: 0.0) if v and v not in model[f]}
+                        rows |= {(f, k, v) for _, _, v, _ in _edges(atoms, cuts, lambda _: 0.0, reach.get(f, REACH)) if v and v not in held.value[f]}
             yield pd.DataFrame(list(rows), columns=["field", "row_key", "value"])
 
-    held = texts.mapInPandas(values, "field string, row_key string, value string").distinct().join(rare, ["field", "value"])
-    own = held.groupBy("field", "row_key").agg(F.collect_list(F.struct("value", "weight")).alias("w")).select("field", "row_key", F.col("w.value").alias("rare"), F.col("w.weight").alias("weights"))
+    found = texts.mapInPandas(values, "field string, row_key string, value string").distinct().join(model.rare, ["field", "value"])
+    own = found.groupBy("field", "row_key").agg(F.collect_list(F.struct("value", "weight")).alias("w")).select("field", "row_key", F.col("w.value").alias("rare"), F.col("w.weight").alias("weights"))
     return texts.join(own, ["field", "row_key"], "left")
 
 
-def _scorer(model: dict[str, float], rare, weights) -> Callable[[str], float]:
-    return scorer(model, dict(zip(rare, weights)) if rare is not None else None)
+def _scorer(model: Model, field: str, rare, weights) -> Callable[[str], float]:
+    return scorer(model.held.value.get(field, {}) if model.held is not None else {}, dict(zip(rare, weights)) if rare is not None else None)
 
 
-def learn(texts: DataFrame, names: frozenset[str] | None, rounds: int = ROUNDS) -> tuple[dict[str, dict[str, float]], DataFrame | None]:
-    """Per field the log probabilities of its values, by EM over every row: the most frequent ones, and a table (field, value, weight) of all values of the fields that have more, null if none has."""
-    model: dict[str, dict[str, float]] = {}
-    rare: DataFrame | None = None
+def learn(texts: DataFrame, names: Names, rounds: int = ROUNDS) -> Model:
+    """Log probabilities of the values of every field, by EM over every row."""
+    model = Model(None, {}, frozenset(), None)
     for _ in range(rounds):
+        light = Model(model.held, model.reach, model.full, None)
 
-        def count(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pd.DataFrame], model=light) -> Iterator[pd.DataFrame]:
             total: dict[tuple[str, str, bool], float] = defaultdict(float)
+            table = lambda: pd.DataFrame([(*k, n, 0 if k[2] or not _CUTS.search(k[1]) else _atoms(k[1])) for k, n in total.items()], columns=["field", "value", "joined", "n", "atoms"])
             for b in batches:
                 for f, t, own, r, w in zip(b["field"], b["text"], b["names"], b["rare"], b["weights"]):
-                    atoms, cuts = lattice(t, _known(names, own))
-                    expected(atoms, cuts, _scorer(model.get(f, {}), r, w), lambda v, joined, p, f=f: total.__setitem__((f, v, joined), total[f, v, joined] + p))
+                    atoms, cuts = lattice(t, names.of(own), names.longest)
+                    expected(atoms, cuts, _scorer(model, f, r, w), lambda v, joined, p, f=f: total.__setitem__((f, v, joined), total[f, v, joined] + p), model.reach.get(f, REACH))
                 if len(total) > 200_000:
-                    yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["field", "value", "joined", "n"])
+                    yield table()
                     total.clear()
-            yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["field", "value", "joined", "n"])
+            yield table()
 
-        weighted = _with_rare(texts, names, model, rare)
-        counts = weighted.mapInPandas(count, "field string, value string, joined boolean, n double").groupBy("field", "value").agg(F.sum("n").alias("n"), F.bool_and("joined").alias("joined"))
+        weighted = _with_rare(texts, names, model)
+        counts = weighted.mapInPandas(count, "field string, value string, joined boolean, n double, atoms int").groupBy("field", "value").agg(F.sum("n").alias("n"), F.bool_and("joined").alias("joined"), F.max("atoms").alias("atoms"))
         counts = keep(counts.where(~F.col("joined")))
-        seen = {r.field: r for r in counts.groupBy("field").agg(F.sum("n").alias("s"), F.count("*").alias("values")).collect()}
-        top = []
+        seen = {r.field: r for r in counts.groupBy("field").agg(F.sum("n").alias("s"), F.count("*").alias("values"), F.max("atoms").alias("atoms")).collect()}
+        words: dict[str, dict[str, float]] = {f: {} for f in seen}
         for f in sorted(seen):
-            top += counts.where(F.col("field") == f).orderBy(F.desc("n"), "value").limit(DICTIONARY).collect()
-        model = defaultdict(dict)
-        for r in top:
-            model[r.field][r.value] = math.log(r.n / seen[r.field].s)
-        model = dict(model)
+            for r in counts.where(F.col("field") == f).orderBy(F.desc("n"), "value").limit(DICTIONARY).collect():
+                words[f][r.value] = math.log(r.n / seen[f].s)
         more = [f for f in sorted(seen) if seen[f]["values"] > DICTIONARY]
         rare = None
         if more:
             sums = F.create_map(*[F.lit(x) for f in more for x in (f, seen[f].s)])
             rare = cut(counts.where(F.col("field").isin(more)).select("field", "value", F.log(F.col("n") / F.try_element_at(sums, F.col("field"))).alias("weight")))
         counts.unpersist()
-    return model, rare
+        model = Model(texts.sparkSession.sparkContext.broadcast(words), {f: max(REACH, r.atoms) for f, r in seen.items()}, frozenset(more), rare)
+    return model
 
 
 def split_packed(texts: DataFrame, products: DataFrame) -> DataFrame:
     """(field, row_key, pos, item): the values of every text that holds at least two."""
     texts = keep(texts.distinct())
     named, names = _with_names(texts, products)
-    model, rare = learn(named, names)
+    model = learn(named, names)
+    light = Model(model.held, model.reach, model.full, None)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for f, k, t, own, r, w in zip(b["field"], b["row_key"], b["text"], b["names"], b["rare"], b["weights"]):
-                atoms, cuts = lattice(t, _known(names, own))
+                atoms, cuts = lattice(t, names.of(own), names.longest)
                 if len(atoms) > 1:
-                    values = [v for v in viterbi(atoms, cuts, _scorer(model.get(f, {}), r, w)) if v]
+                    values = [v for v in viterbi(atoms, cuts, _scorer(light, f, r, w), light.reach.get(f, REACH)) if v]
                     if len(values) > 1:
                         rows += [(f, k, i, v) for i, v in enumerate(values, 1)]
             yield pd.DataFrame(rows, columns=["field", "row_key", "pos", "item"])
 
-    return _with_rare(named, names, model, rare).mapInPandas(split, "field string, row_key string, pos bigint, item string").distinct()
+    return _with_rare(named, names, model).mapInPandas(split, "field string, row_key string, pos bigint, item string").distinct()

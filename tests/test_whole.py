@@ -73,3 +73,16 @@ def test_all_texts_that_did_not_cast(spark):
     assert got["A"].cast_failures == {"rated_power": "3 kg", "release_date": "not a day"}
     assert got["A"].all_cast_failures == {"rated_power": ["3 kg", "plenty"], "release_date": ["not a day", "one day"]}
     assert not got["B"].all_cast_failures
+
+
+def test_names_and_values_of_many_atoms_stay_whole(spark, monkeypatch):
+    name, value = "a, b, c, d, e, f", "red, blue, green, white, black and grey"
+    rows = [("f", "n", f"{name}|x"), ("f", "m", f"{name}, {name}"), ("f", "u", f"{value}, other"), *[("f", f"q{i}", f'"{value}"') for i in range(9)], ("f", "v", "p, q, r, s, t, u")]
+    texts = spark.createDataFrame(rows, "field string, row_key string, text string")
+    products = spark.createDataFrame([(name,), (None,), ("plain",)], "product_name string")
+    for most in (packed.NAMES, 0):
+        monkeypatch.setattr(packed, "NAMES", most)
+        got = {}
+        for r in sorted(packed.split_packed(texts, products).collect(), key=lambda r: r.pos):
+            got.setdefault(r.row_key, []).append(r["item"])
+        assert got == {"n": [name, "x"], "m": [name, name], "u": [value, "other"], "v": list("pqrstu")}
