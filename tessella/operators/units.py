@@ -4,7 +4,9 @@
 catalogue's common unit. A stated unit (in the value, else in the field name, else in the evidence)
 decides. Where none is stated, a log-scale mixture is fitted: the true values of a field form a
 mixture of Gaussians on the log axis, and every unit shifts that mixture by its known factor; the
-posterior over units assigns one, and a low posterior is flagged as uncertain.
+posterior over units assigns one, and a low posterior is flagged as uncertain. Units that differ by an
+offset too (temperature) are fitted on the linear axis. Where little or nothing is stated of a field, the
+posterior stays near the uniform prior, so that it is flagged.
 
 Parsing is built from column expressions only. The mixture is fitted on a histogram per field, unit
 and bin, whose size depends on the catalogue and the bin width, never on the number of records.
@@ -95,6 +97,9 @@ SIGNED = rf'((?:(?<![a-z0-9°"ω.)])-)?(?<![a-z0-9.,/])(?:{NUMBER}))(?: ?({ANY_U
 BEFORE = rf"(?:^|[^a-z0-9])({ANY_UNIT})[\])]?:? ?$"
 
 BIN = 0.02  # width of a histogram bin on the log10 axis
+DEGREES = 0.5  # width of a histogram bin on the linear axis
+BACKGROUND = 0.01  # weight of the wide Gaussian
+PRIOR = 10.0  # stated values that weigh as much as the uniform prior of the units
 MIN_POSTERIOR = 0.9  # under it an inferred unit is flagged as uncertain
 
 
@@ -187,98 +192,121 @@ def parse_quantities(records: DataFrame, catalog: DataFrame, carry: tuple[str, .
 
 @dataclass
 class Mixture:
-    """A fitted log-scale mixture of one field: Gaussians of the true value, shared by all units, and a share for each unit."""
+    """A fitted mixture of one field on the axis of its common unit: Gaussians of the true value, shared by all units, a wide background, and a share for each unit."""
 
     means: np.ndarray
     sds: np.ndarray
     weights: np.ndarray
-    units: list[float]  # factors
     shares: np.ndarray
+    evidence: float  # share of trust in the fit against a uniform prior, by how much is stated
 
-    def posterior(self, logs: np.ndarray) -> np.ndarray:
-        """P(unit | log10 of the raw number), one row for each number."""
-        x = logs[:, None, None] + np.log10(self.units)[None, :, None]
-        z = np.exp(-0.5 * ((x - self.means) / self.sds) ** 2) / self.sds
-        p = (z * self.weights).sum(2) * self.shares + 1e-12
-        return p / p.sum(1, keepdims=True)
+    def posterior(self, places: np.ndarray, jacobian: np.ndarray) -> np.ndarray:
+        """P(unit | number), one row for each number; places are the number's values in the common unit under each unit."""
+        p = _density(places, jacobian, self.means, self.sds, self.weights).sum(2) * self.shares + 1e-300
+        return self.evidence * p / p.sum(1, keepdims=True) + (1 - self.evidence) / places.shape[1]
 
 
-def fit_mixture(logs: np.ndarray, counts: np.ndarray, known: np.ndarray, factors: list[float], parts: int = 24, rounds: int = 60) -> Mixture:
-    """EM over a weighted histogram. known: index of the stated unit or -1, where the unit is latent.
+def _density(places: np.ndarray, jacobian: np.ndarray, means: np.ndarray, sds: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted densities (number, unit, Gaussian) of the raw number; the jacobian is that of the unit's conversion on this axis."""
+    return np.exp(-0.5 * ((places[:, :, None] - means) / sds) ** 2) / sds * weights * jacobian[None, :, None]
 
-    The Gaussians begin at the quantiles of the stated values in the common unit, so that each begins where data are."""
-    offsets = np.log10(np.asarray(factors))
+
+def fit_mixture(places: np.ndarray, jacobian: np.ndarray, counts: np.ndarray, known: np.ndarray, narrow: float, wide: float, parts: int = 24, rounds: int = 60) -> Mixture:
+    """EM over a weighted histogram. places: (number, unit) values in the common unit; known: index of the stated unit or -1, where the unit is latent.
+
+    The Gaussians begin at the quantiles of the stated values, so that each begins where data are; narrow is their first
+    deviation, wide that of the fixed background, which keeps numbers far from all data undecided. Without stated units
+    the numbers cannot tell a unit: the evidence is 0 and every posterior stays at the prior."""
     have = known >= 0
-    common = logs[have] + offsets[known[have]] if have.any() else logs
-    weight = counts[have] if have.any() else counts
+    stated, n_units = float(counts[have].sum()), places.shape[1]
+    if not stated:
+        return Mixture(np.zeros(1), np.full(1, wide), np.ones(1), np.full(n_units, 1 / n_units), 0.0)
+    common, weight = places[have, known[have]], counts[have]
     order = np.argsort(common)
     cum = np.cumsum(weight[order]) / weight.sum()
-    means = np.unique(np.round(common[order][np.clip(np.searchsorted(cum, (np.arange(parts) + 0.5) / parts), 0, len(order) - 1)], 2))
-    k, n_units = len(means), len(factors)
-    sds, weights = np.full(k, 0.05), np.full(k, 1 / k)
-    shares = np.bincount(known[have], counts[have], n_units) + 1.0 if have.any() else np.ones(n_units)
+    means = np.unique(np.round(common[order][np.clip(np.searchsorted(cum, (np.arange(parts) + 0.5) / parts), 0, len(order) - 1)] / narrow) * narrow)
+    means = np.append(means, np.average(common, weights=weight))
+    k = len(means)
+    sds = np.append(np.full(k - 1, narrow), wide)
+    weights = np.append(np.full(k - 1, (1 - BACKGROUND) / (k - 1)), BACKGROUND)
+    shares = np.bincount(known[have], counts[have], n_units) + 1.0
     shares /= shares.sum()
     allowed = np.where(known[:, None] < 0, 1.0, (np.arange(n_units)[None, :] == known[:, None]).astype(float))
-    x = logs[:, None, None] + offsets[None, :, None]
     for _ in range(rounds):
-        dens = np.exp(-0.5 * ((x - means) / sds) ** 2) / sds * weights * (shares * allowed)[:, :, None] + 1e-300
+        dens = _density(places, jacobian, means, sds, weights) * (shares * allowed)[:, :, None] + 1e-300
         resp = dens / dens.sum((1, 2), keepdims=True) * counts[:, None, None]
-        per = resp.sum((0, 1))
-        means = (resp * x).sum((0, 1)) / per
-        sds = np.sqrt((resp * (x - means) ** 2).sum((0, 1)) / per + 0.01**2)
-        weights = (per + 1e-3) / (per + 1e-3).sum()
+        per = resp.sum((0, 1))[:-1] + 1e-9
+        means[:-1] = (resp * places[:, :, None]).sum((0, 1))[:-1] / per
+        sds[:-1] = np.sqrt((resp * (places[:, :, None] - means) ** 2).sum((0, 1))[:-1] / per + (narrow / 5) ** 2)
+        weights[:-1] = (1 - BACKGROUND) * (per + 1e-3) / (per + 1e-3).sum()
         latent = resp[known < 0].sum((0, 2))
         # Shares of the records without unit, held by a weak prior at the shares of those with one.
         new = latent + 5.0 * np.maximum(shares, 1e-3)
         shares = new / new.sum()
-    return Mixture(means, sds, weights, list(factors), shares)
+    return Mixture(means, sds, weights, shares, stated / (stated + PRIOR))
+
+
+def unit_classes(quantity: str) -> list[tuple[str, float, float]]:
+    """(first spelling, factor, offset) of each distinct conversion."""
+    seen: dict[tuple[float, float], str] = {}
+    for u, fo in UNITS[quantity].items():
+        seen.setdefault(fo, u)
+    return [(u, f, o) for (f, o), u in seen.items()]
+
 
+def on_axis(quantity: str, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(places, jacobian, narrow, wide) of raw numbers: the log axis, on which units are known offsets; for units with an offset of their own, as those of temperature, the linear axis."""
+    classes = unit_classes(quantity)
+    factors, offsets = np.array([f for _, f, _ in classes]), np.array([o for _, _, o in classes])
+    if offsets.any():
+        return raw[:, None] * factors + offsets, factors, 3.0, 300.0
+    return np.log10(np.abs(raw))[:, None] + np.log10(factors), np.ones(len(classes)), 0.05, 2.0
 
-def unit_classes(quantity: str) -> list[tuple[str, float]]:
-    """The first spelling of each distinct factor, for units without offset."""
-    seen: dict[float, str] = {}
-    for u, (f, o) in UNITS[quantity].items():
-        if o == 0.0 and f not in seen:
-            seen[f] = u
-    return [(u, f) for f, u in seen.items()]
+
+def binned(raw: Column, quantity: Column) -> Column:
+    """The histogram bin of a raw number: of width BIN on the log axis, of DEGREES for units with an offset; null for 0 on the log axis."""
+    linear = quantity.isin(*[q for q, us in UNITS.items() if any(o for _, o in us.values())])
+    return F.when(linear, F.floor(raw / DEGREES)).when(raw != 0, F.floor(F.log10(F.abs(raw)) / BIN))
 
 
 def infer_missing(parsed: DataFrame) -> DataFrame:
-    """(field, bin, unit, factor, posterior): for each field and log bin of numbers without unit, the most likely unit.
+    """(field, bin, unit, factor, offset, posterior): for each field and bin of numbers without unit, the most likely unit.
 
     The histogram that is collected holds at most fields x unit classes x bins rows."""
-    factors, _ = _factors()
-    binned = F.floor(F.log10(F.abs("raw")) / BIN)
-    hist = (
-        parsed.where((F.col("raw") != 0) & (F.col("quantity") != "temperature"))
-        .groupBy("field", "quantity", F.try_element_at(factors, F.concat_ws("\t", "quantity", "unit")).alias("factor"), binned.alias("bin"))
-        .count()
-        .toPandas()
-    )
+    factors, offsets = _factors()
+    key = F.concat_ws("\t", "quantity", "unit")
+    cells = parsed.select("field", "quantity", F.try_element_at(factors, key).alias("factor"), F.try_element_at(offsets, key).alias("offset"), binned(F.col("raw"), F.col("quantity")).alias("bin"))
+    hist = cells.where("bin is not null").groupBy("field", "quantity", "factor", "offset", "bin").count().toPandas()
     out = []
     for (field, quantity), part in hist.groupby(["field", "quantity"]):
         classes = unit_classes(quantity)
-        index = {f: i for i, (_, f) in enumerate(classes)}
-        known = np.array([index.get(f, -1) if f == f else -1 for f in part["factor"]])
-        logs = (part["bin"].to_numpy(float) + 0.5) * BIN
-        counts = part["count"].to_numpy(float)
+        index = {(f, o): i for i, (_, f, o) in enumerate(classes)}
+        known = np.array([index.get((f, o), -1) if f == f else -1 for f, o in zip(part["factor"], part["offset"])])
         if not (known < 0).any():
             continue
-        model = fit_mixture(logs, counts, known, [f for _, f in classes])
+        linear = any(o for _, _, o in classes)
+        middle = lambda b, linear=linear: (b + 0.5) * DEGREES if linear else 10 ** ((b + 0.5) * BIN)
+        places, jacobian, narrow, wide = on_axis(quantity, middle(part["bin"].to_numpy(float)))
+        model = fit_mixture(places, jacobian, part["count"].to_numpy(float), known, narrow, wide)
         bins = np.unique(part["bin"].to_numpy()[known < 0])
-        post = model.posterior((bins + 0.5) * BIN)
-        out += [(field, int(b), classes[i][0], classes[i][1], float(p[i])) for b, p in zip(bins, post) for i in [int(p.argmax())]]
-    return parsed.sparkSession.createDataFrame(out, "field string, bin bigint, inferred_unit string, factor double, posterior double")
+        post = model.posterior(on_axis(quantity, middle(bins.astype(float)))[0], jacobian)
+        out += [(field, int(b), *classes[i], float(p[i])) for b, p in zip(bins, post) for i in [int(p.argmax())]]
+    return parsed.sparkSession.createDataFrame(out, "field string, bin bigint, inferred_unit string, factor double, offset double, posterior double")
 
 
 def normalise_units(records: DataFrame, catalog: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per record and bound: (record_id, bound, field, quantity, unit, unit_source, posterior, uncertain, common_milli).
 
     Columns named in carry stay beside them. Stated units have posterior 1; inferred ones carry the mixture's posterior and are uncertain under MIN_POSTERIOR."""
-    parsed = keep(parse_quantities(records, catalog, carry))
+    return with_units(keep(parse_quantities(records, catalog, carry)), carry)
+
+
+def with_units(parsed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """`normalise_units` of parsed quantities. A number 0 without unit is 0 in every unit of a quantity without offsets: certain, though its unit stays null."""
     guess = small(infer_missing(parsed))
-    rows = parsed.withColumn("bin", F.when(F.col("unit").isNull() & (F.col("raw") != 0), F.floor(F.log10(F.abs("raw")) / BIN))).join(guess, ["field", "bin"], "left")
+    rows = parsed.withColumn("bin", F.when(F.col("unit").isNull(), binned(F.col("raw"), F.col("quantity")))).join(guess, ["field", "bin"], "left")
     inferred = F.col("unit").isNull() & F.col("inferred_unit").isNotNull()
+    zero = F.col("unit").isNull() & F.col("bin").isNull()
     return rows.select(
         "record_id",
         *carry,
@@ -286,8 +314,8 @@ def normalise_units(records: DataFrame, catalog: DataFrame, carry: tuple[str, ..
         "field",
         "quantity",
         F.coalesce("unit", "inferred_unit").alias("unit"),
-        F.when(inferred, "inferred").otherwise(F.col("unit_source")).alias("unit_source"),
-        F.when(inferred, F.round("posterior", 4)).when(F.col("unit").isNotNull(), F.lit(1.0)).alias("posterior"),
-        F.when(F.col("unit").isNotNull(), F.lit(False)).otherwise(F.coalesce(F.col("posterior") < MIN_POSTERIOR, F.lit(True))).alias("uncertain"),
-        F.coalesce("milli", milli(F.col("raw") * F.col("factor"))).alias("common_milli"),
+        F.when(inferred | zero, "inferred").otherwise(F.col("unit_source")).alias("unit_source"),
+        F.when(inferred, F.round("posterior", 4)).when(F.col("unit").isNotNull() | zero, F.lit(1.0)).alias("posterior"),
+        F.when(F.col("unit").isNotNull() | zero, F.lit(False)).otherwise(F.coalesce(F.col("posterior") < MIN_POSTERIOR, F.lit(True))).alias("uncertain"),
+        F.when(zero, F.lit(0).cast("bigint")).otherwise(F.coalesce("milli", milli(F.col("raw") * F.col("factor") + F.col("offset")))).alias("common_milli"),
     ).distinct()

@@ -4,9 +4,10 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators.packed import item, lattice, packed_texts, scorer, split_packed, viterbi
-from tessella.operators.units import UNITS, fit_mixture, normalise_units, unit_classes
+from tessella.operators.units import UNITS, fit_mixture, normalise_units, on_axis, parse_quantities, unit_classes, with_units
 from tessella.operators.wide import entity_key, unpivot, widen
 
 RECORD = "record_id string, doc_id string, product_name string, field_name string, field_value string, evidence_text string, extracted_at timestamp_ntz, quantity string, key string"
@@ -78,18 +79,47 @@ def test_units_rows_twice_and_empty(spark, catalog):
 def test_inferred_units_on_held_out_accuracy():
     rng = np.random.default_rng(3)
     classes = unit_classes("power")
-    offsets = np.log10([f for _, f in classes])
+    offsets = np.log10([f for _, f, _ in classes])
     true = np.log10(rng.choice([5.0, 20.0, 60.0], 3000)) + rng.normal(0, 0.01, 3000)
     unit = rng.integers(0, len(classes), 3000)
     logs = true - offsets[unit]
     known = np.where(np.arange(3000) < 2400, unit, -1)
-    model = fit_mixture(logs, np.ones(3000), known, [f for _, f in classes])
-    post = model.posterior(logs[2400:])
+    places, jacobian, narrow, wide = on_axis("power", 10**logs)
+    model = fit_mixture(places, jacobian, np.ones(3000), known, narrow, wide)
+    post = model.posterior(places[2400:], jacobian)
     sure = post.max(1) >= 0.9
     assert sure.mean() > 0.9
     assert (post.argmax(1) == unit[2400:])[sure].mean() > 0.98
 
 
+def test_hidden_units(spark):
+    """A tenth of the stated units of real records hidden: what is not flagged must be right, by field and over all."""
+    records, catalog = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("product_records", "field_catalog"))
+    parsed = parse_quantities(records, catalog).distinct().where("unit is not null").withColumn("held", F.pmod(F.xxhash64("record_id"), F.lit(10)) == 0).cache()
+    hidden = parsed.withColumns({c: F.when(~F.col("held"), F.col(c)) for c in ("unit", "unit_source", "milli")})
+    truth = parsed.where("held").select("record_id", "bound", F.col("milli").alias("true_milli"))
+    got = with_units(hidden.drop("held")).join(truth, ["record_id", "bound"]).toPandas()
+    right = (got.common_milli - got.true_milli).abs() <= 1 + got.true_milli.abs() * 1e-6
+    sure = ~got.uncertain
+    print(f"{len(got)} hidden, {1 - sure.mean():.3f} flagged, {right[sure].mean():.3f} of the others right, {right[~sure].mean():.3f} of the flagged")
+    assert len(got) > 200 and sure.mean() > 0.2
+    assert right[sure].mean() >= 0.95
+
+
+def test_units_without_evidence(spark, catalog):
+    """Nothing stated: the unit stays undecided and flagged; 0 is 0 in any unit; temperatures are inferred too."""
+    warm = [("A", "operating_temperature", f"{a} to {b} °C", None, 1) for a, b in ((-10, 50), (0, 49), (-5, 55), (-20, 60)) for _ in range(30)]
+    warm += [("A", "operating_temperature", f"{a} to {b} °F", None, 1) for a, b in ((14, 122), (32, 120), (23, 131), (-4, 140)) for _ in range(30)]
+    rows = [("A", "rated_power", "12", None, 1), ("A", "housing_depth", "0", None, 1), ("A", "operating_temperature", "14 to 122", None, 1), ("A", "operating_temperature", "263.15 to 323.15", None, 1), *warm]
+    got = {(r.record_id, r.bound): r for r in normalise_units(records(spark, rows), catalog).collect()}
+    assert got["r0", "value"].uncertain and got["r0", "value"].posterior == pytest.approx(1 / 3, abs=1e-3)
+    zero = got["r1", "value"]
+    assert (zero.common_milli, zero.uncertain, zero.unit) == (0, False, None)
+    assert got["r2", "high"].unit == "f" and got["r2", "high"].common_milli == 50000
+    assert all(got["r3", b].posterior is not None and got["r3", b].common_milli is not None for b in ("low", "high"))
+    assert got["r3", "high"].uncertain or got["r3", "high"].unit == "k"
+
+
 def test_every_unit_has_a_factor():
     assert all(f != 0 for us in UNITS.values() for f, _ in us.values())
 
