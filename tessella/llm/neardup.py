@@ -304,8 +304,8 @@ def candidates(sets: DataFrame, threshold: Fraction = THRESHOLD, deletions: bool
     # 5. Equal signatures. Calm ones are bounded in number, so they are partitioned once and both sides of the
     # join read that; the few crowded ones go through a join of their own, which the skew handling may split.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    calm_signs = keep(signs.where(~F.col("hot")).repartition(parts, "sig"))
-    return _meet(calm_signs, threshold).unionByName(_meet(signs.where("hot"), threshold))
+    calm_signs = keep(signs.where(~F.col("hot")).drop("hot").repartition(parts, "sig"))
+    return _meet(calm_signs, threshold).unionByName(_meet(signs.where("hot").drop("hot"), threshold))
 
 
 def _meet(signs: DataFrame, threshold: Fraction) -> DataFrame:
