@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm.tokens import BYTE_BPE, TOKENIZERS, token_counts
-from tessella.session import cut
+from tessella.session import cut, small
 
 BUCKETS = 1 << 14  # of the seeded hash; a boundary bucket holds about a pattern's rows / BUCKETS
 
@@ -140,7 +140,7 @@ def plan(patterns: dict[tuple[str, ...], int], flows: dict[tuple[tuple[str, ...]
 
 
 def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, name: str = BYTE_BPE, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
-    """(uses, report): uses has (doc_id, source, repeats, n_tokens) of every document in the mix; report has each source's target and actual share."""
+    """(uses, report): uses has (doc_id, source, repeats, n_tokens) of every document in the mix; report has each source's target and actual share, the share its target has among the sources with documents, and the deviation from it."""
     spark = docs.sparkSession
     said = {r.source: (float(r.target_share or 0.0), int(r.max_repeats or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r.source is not None}
     # Patterns are sets of target sources only, so that their number does not grow with the sources of the documents.
@@ -157,7 +157,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     hist = sized.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n"))
     ahead = hist.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     first, last = F.col("before"), F.col("before") + F.col("n")
-    marked = ahead.join(F.broadcast(steps), "pattern").withColumns(
+    marked = ahead.join(small(steps), "pattern").withColumns(
         {"inside": ((first >= F.col("start")) & (last <= F.col("stop"))) | (last <= F.col("stop2")), "outside": ((last <= F.col("start")) | (first >= F.col("stop"))) & (first >= F.col("stop2"))}
     )
     rows = sized.join(marked.drop("n"), ["pattern", "bucket"])
@@ -171,7 +171,17 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     uses = plain.select(*cols).unionByName(exact.select(*cols)).where("repeats > 0")
     got = uses.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
     full = targets.join(got, "source", "left").na.fill(0, ["tokens", "documents", "most_repeats"])
-    report = full.select(
-        "source", "target_share", "max_repeats", "documents", F.col("tokens").cast("bigint").alias("tokens"), F.col("most_repeats").cast("bigint").alias("most_repeats"), F.round(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(Window.partitionBy())), 6).alias("actual_share")
+    # The share that can be reached: that of the target among the sources with documents.
+    live = (F.col("tokens") > 0).cast("double") * F.coalesce("target_share", F.lit(0.0))
+    sums = full.agg(F.sum("tokens").alias("all_tokens"), F.sum(live).alias("live_share"))
+    report = full.crossJoin(F.broadcast(sums)).select(
+        "source",
+        "target_share",
+        "max_repeats",
+        "documents",
+        F.col("tokens").cast("bigint").alias("tokens"),
+        F.col("most_repeats").cast("bigint").alias("most_repeats"),
+        F.round(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), 6).alias("actual_share"),
+        F.round(F.try_divide(live, F.col("live_share")), 6).alias("reachable_share"),
     )
-    return uses, report
+    return uses, report.withColumn("deviation", F.round(F.col("actual_share") - F.col("reachable_share"), 6))

@@ -6,12 +6,13 @@ import re
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm.mixing import mix, plan, route
 from tessella.llm.neardup import alike_pairs
 from tessella.llm.pairs import SuffixAutomaton, coverage, defect, find_defects
 from tessella.llm.stuffing import repaired, score_pages, segments
-from tessella.llm.tokens import BYTE_BPE, TOKENIZERS, byte_table, decode, encode, encode_with_offsets, id_bytes
+from tessella.llm.tokens import BYTE_BPE, TOKENIZERS, byte_table, decode, encode, encode_with_offsets, id_bytes, round_trip
 
 QUESTION = "Under work order 120595, what rated power must the surveyor note down for the ZEN-100 pull station at depot G1 near Corrin, line 34207?"
 
@@ -108,6 +109,14 @@ def test_tokens_round_trip(spark):
     assert encode(docs.limit(0)).count() == 0
 
 
+def test_round_trip_in_one_pass(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in TEXTS], "doc_id bigint, text string, same string")
+    got = round_trip(docs).collect()
+    assert len(got) == len(TEXTS) and all(r.same for r in got)
+    sizes = {r.doc_id: len(r.ids) for r in encode(docs).collect()}
+    assert all(r.n_tokens == sizes[r.doc_id] for r in got)
+
+
 def test_offsets_tile_the_text(spark):
     docs = spark.createDataFrame(TEXTS[3:4], "doc_id bigint, text string")
     r = encode_with_offsets(docs).first()
@@ -140,6 +149,20 @@ def test_mix_keeps_shares_and_caps(spark):
     assert mix(docs.limit(0), targets)[0].count() == 0
 
 
+def test_mix_of_real_documents(spark):
+    """Every cap is kept and every share reached but for a document on either side of a boundary."""
+    docs, targets = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "mix_targets"))
+    uses, report = mix(docs, targets)
+    got = report.collect()
+    caps = {r.source: r.max_repeats for r in got}
+    most = uses.groupBy("source").agg(F.max("repeats").alias("r"), F.max("n_tokens").alias("n"), F.sum("repeats").alias("s")).collect()
+    assert most and all(r.r <= caps[r.source] for r in most)
+    total, longest = sum(r.tokens for r in got), max(r.n for r in most)
+    assert sum(r.actual_share for r in got) == pytest.approx(1, abs=1e-4)
+    # Shares move together with the total, so the sources' boundary documents add up.
+    assert all(abs(r.deviation) <= 3 * longest / total + 2e-3 for r in got), [(r.source, r.deviation) for r in got]
+
+
 def test_pages(spark):
     prose = "Before the handover, the planner walks every floor with a sound meter. Do not paint the cover, because the sensor needs free air. "
     rows = [(i, prose * 4 + f"Zone {i} covers the cellar and the stairs of the old wing.") for i in range(150)]
