@@ -31,26 +31,27 @@ not found in the provided | not found in the given | not found in the context |
 no information on | no information about | no relevant information | insufficient context | insufficient information | not enough information | not enough context | don t have enough | do not have enough | no answer could be | no answer is given | no answer can be
 must decline | i decline | have to decline | would rather not | prefer not to answer | i refuse | will not answer | won t answer | won t speculate | will not speculate | rather not guess | outside of what i may | outside what i may | not allowed to | as a language assistant | as a language model | as an ai | my apologies | i apologize | i apologise
 does not say anything about | do not say anything about | says nothing about | say nothing about | is silent about | are silent about | is silent on | does not specify this | does not contain | do not contain | does not mention | do not mention | does not provide | do not provide | does not include any
-nothing in the passages | nothing in the context | nothing in the excerpts | nothing in the documents | this question stays open | question remains open | i don t know | i do not know | sorry i | i m sorry | i am sorry | lets me work out
+nothing in the passages | nothing in the context | nothing in the excerpts | nothing in the documents | nothing in the sources | nothing in the text | nothing here allows
+question stays open | question remains open | stays unanswered | remains unanswered | left unanswered | is left open | no way to tell | no way of knowing | no way to know | hard to say | could not say | cannot say | can t say | can t tell | cannot tell | can t answer that | i don t know | i do not know | not sure | sorry i | sorry but | i m sorry | i am sorry | we are sorry | i m afraid | i am afraid
 kann ich nicht beantworten | kann nicht beantwortet werden | keine angabe | keine informationen | nicht gefunden | geht aus dem kontext nicht hervor | leider kann ich | tut mir leid
 je ne peux pas | ne peut pas être déterminé | aucune information | introuvable dans | impossible de répondre | je suis désolé | désolé je
 no puedo responder | no se puede determinar | no se encuentra en | no hay información | lo siento | no es posible responder
 """
-# Frequent words that vote for a language.
+# Function words that vote for a language (articles, pronouns, prepositions, conjunctions, auxiliaries, particles).
 STOPWORDS = {
-    "en": "the of and is are was to in with for by that this which what how does do from its it as at on not be has have can must should between when where if stays comes gives needs than compare links differ inside according under no",
-    "de": "der die das und ist sind wird nicht den dem des ein eine einen einem im in zu mit für von auf bei als nur solange beträgt gilt laut neben welchen wie nennt beim es wenn nach aus dass liest ab",
-    "fr": "le la les un une des du de et est sont ne que qui quelle quel selon dans pour avec sur par pas si au aux à il en vaut côté figure d l s n ce cette plus",
-    "es": "el la los las un una de del y es son no que qué cuál según en para con por se al más mientras solo sólo valor tiene está junto su lo como",
-    "it": "il lo la i gli le un una di del della e è sono non che quale con per su solo finché viene nella sulla al alla accanto legge",
-    "nl": "de het een en is zijn niet van voor met op naast wordt alleen zolang geldt af leest bij aan dat die waarde werkt te",
-    "pt": "o a os as um uma de do da e é são não que com para por só enquanto for na no ao lado vale lê à em",
-    "sv": "en ett den det de och är inte med på för av till som vid bredvid står så länge endast gäller om från under",
-    "da": "en et den det de og er ikke med på for af til som ved siden så længe kun gælder om fra under står",
-    "no": "en et den det de og er ikke med på for av til som ved siden så lenge bare gjelder om fra under står",
-    "pl": "i w na z do nie jest są to się że przy obok tylko dopóki oraz dla od po jak podano wynosi",
-    "cs": "a v na z do ne je jsou to se že při vedle jen dokud pro od po jak platí pouze",
-    "fi": "ja on ei se että vain kun niin kauan vieressä kohdassa mukaan ovat ole",
+    "en": "the a an of and or but if is are was were be been to in into with for by from at on as that this these those which what who when where why how do does did it its they their we our you your i not no has have had can could may might must should will would there than then so only also about between after before during under over because until while each any all some such more most other",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn als ob dass weil ist sind war waren wird werden wurde wurden hat haben hatte kann können muss müssen soll darf nicht kein keine nur auch noch schon im in ins zu zum zur mit für von vom auf bei beim an am aus nach über unter vor durch gegen ohne um bis seit laut wie was wer wo welche welcher welches es er sie ich wir ihr man sich so sehr mehr",
+    "fr": "le la les un une des du de et ou mais si est sont était été être a ont avait avoir ne pas plus que qui quoi dont où quel quelle quels quelles quand comment pourquoi ce cet cette ces il elle ils elles on nous vous je se son sa ses leur leurs au aux à en dans sur sous par pour avec sans selon entre vers chez depuis pendant après avant car donc aussi très tout toute tous même",
+    "es": "el la los las un una unos unas de del y e o u pero si es son era fue ser está están estar hay ha han había que qué quien cual cuál cuando cómo donde dónde por para con sin según sobre entre hasta desde en al se su sus lo le les me te nos no ni más muy también solo sólo como porque mientras este esta estos estas ese esa todo toda todos todas",
+    "it": "il lo la i gli le un uno una di del della dei delle dello degli e o ma se è sono era essere ha hanno non che chi cui quale quali quando come dove perché per con senza su sul sulla in nel nella nelle al alla alle agli da dal dalla solo anche più molto questo questa questi queste si ci ne viene finché",
+    "nl": "de het een en of maar als dat die dit deze is zijn was waren wordt worden werd heeft hebben niet geen van voor met op in aan bij uit naar over onder door tegen zonder om tot naast alleen ook nog al wie wat waar hoe welke er je we ze ik hij zij hun dan zo zolang te",
+    "pt": "o a os as um uma uns umas de do da dos das e ou mas se é são era foi ser está estão há não que quem qual quais quando como onde porque por para pelo pela com sem sobre entre até desde em no na nos nas ao à às só também mais muito este esta esse essa seu sua enquanto",
+    "sv": "en ett den det de och eller men om som är var vara har hade inte på i med för av till från under över vid efter före genom utan bara också vad vem när var hur vilken så länge står",
+    "da": "en et den det de og eller men hvis som er var være har havde ikke på i med for af til fra under over ved efter før gennem uden kun også hvad hvem når hvor hvordan så længe står",
+    "no": "en et ei den det de og eller men hvis som er var være har hadde ikke på i med for av til fra under over ved etter før gjennom uten bare også hva hvem når hvor hvordan så lenge står",
+    "pl": "i a w we na do z ze o od po za nie się jest są był była być to ten ta te że który która które oraz lub ale jak gdy gdzie tylko też przez przy dla pod nad bez przed dopóki",
+    "cs": "a i v ve na do z ze o od po za ne se je jsou byl byla být to ten ta že který která které nebo ale jak když kde jen také při pro pod nad bez před dokud",
+    "fi": "ja on ei se että tai mutta jos kun niin vain myös ovat oli olla ole hän he ne tämä joka jotka mikä missä miten kuin kanssa ilman mukaan kauan",
 }
 MIN_RUN = 2  # words of a run that counts as copied
 COPIED = 0.75  # covered share of the response from which it is a copy
@@ -157,6 +158,21 @@ def votes(words: list[str], lang: str) -> int:
     return sum(w in _VOTES[lang] for w in words)
 
 
+def other_language(words: list[str], here: str) -> bool:
+    there = language(words)[0]
+    return bool(there) and there != here and votes(words, there) >= votes(words, here) + 2
+
+
+def own_words(prompt: list[str], response: list[str]) -> list[str]:
+    """The response's words outside the runs copied from the prompt: names taken over from it tell nothing of the response's language."""
+    ends = SuffixAutomaton(prompt).matches(response)
+    own = [True] * len(response)
+    for i, n in enumerate(ends):
+        if n >= MIN_RUN:
+            own[i - n + 1 : i + 1] = [False] * n
+    return [w for w, o in zip(response, own) if o]
+
+
 def unclosed(text: str) -> bool:
     """Whether a bracket stays open; apostrophes and inch marks are no delimiters."""
     stack = []
@@ -200,10 +216,9 @@ def defect(prompt: str | None, response: str | None) -> str | None:
         share, rest = coverage(asked, given)
         if share >= COPIED and rest < ANSWERED:
             return "copied_question"
-    there, lead = language(words)
-    if there and asked and sum(not any(c.isdigit() for c in w) for w in words) >= NAMED:
-        here, _ = language(asked)
-        if here and there != here and votes(words, there) >= votes(words, here) + 2:
+    if asked and sum(not any(c.isdigit() for c in w) for w in words) >= NAMED:
+        here = language(asked)[0]
+        if here and (other_language(words, here) or any(votes(words, k) >= 2 for k in _VOTES if k != here) and other_language(own_words(asked, words), here)):
             return "other_language"
     if cut_off(text, words):
         return "truncated"

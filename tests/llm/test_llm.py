@@ -48,6 +48,30 @@ def test_defects(answer, want):
     assert defect(QUESTION, answer) == want
 
 
+@pytest.mark.parametrize(
+    ("answer", "want"),
+    [
+        ("I'm afraid there is no way to tell from these pages.", "refusal"),
+        ("That remains unanswered; the manual says nothing about it.", "refusal"),
+        ("We are sorry, but this cannot be determined from the drawing.", "refusal"),
+        ("Leider kann ich das mit den vorliegenden Seiten nicht beantworten.", "refusal"),
+        ("Der Wert steht auf dem Schild neben der Klemme und gilt nur für diese Anlage.", "other_language"),
+        ("La valeur est indiquée sur la plaque, elle dépend de la longueur du câble.", "other_language"),
+        ("El valor se encuentra en la placa y depende de la longitud del cable.", "other_language"),
+        ("Wartość podano na tabliczce obok zacisku, ale tylko dla tej linii.", "other_language"),
+        ("According to the sheet, the pull station draws 35 W at full load.", None),
+        ("It is not stated in watts but as 0.5 A at 70 V.", None),
+    ],
+)
+def test_wordings_that_the_data_lack(answer, want):
+    assert defect(QUESTION, answer) == want
+
+
+def test_names_from_the_prompt_are_no_language():
+    prompt = "What is the line impedance of the VX-1 and Base and the VX-2 and Base on the loop?"
+    assert defect(prompt, "Enheten VX-1 and Base arbetar med 4 ohm; värdet står på skylten.") == "other_language"
+
+
 def test_defect_without_prompt():
     assert defect(None, "Il valore è di 35 W e vale solo finché la linea non viene allungata.") is None
     assert defect(None, None) == "empty"
