@@ -1,8 +1,6 @@
 """Nearest vectors and similarity edges, in blocks: dot products by matrix, never row against row in a join.
 
-The queries are numbered into blocks of BLOCK vectors. Up to ONE_BLOCK queries, counted first, their matrix is sent to the
-tasks that scan the vectors; beyond that both sides are cut into blocks, every pair of blocks is one task's matrix
-product, and only its best (or its edges) leave the task. A stated query set against all rows, in blocks.
+Every pair of blocks (see `blocks`) is one matrix product, and only its best (or its edges) leave the task.
 
 Vectors have the columns vec_id and embedding. Defined results: a vector of norm 0 and a null vector have similarity 0 to
 all; a vector is no neighbour of its own id; ties go to the smaller vec_id; empty tables give an empty result;
@@ -11,14 +9,13 @@ vectors of unequal length raise an error.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessella.operators.blocks import against
 from tessella.session import keep
 
 BLOCK = 4096
@@ -55,34 +52,12 @@ def _edges(ids: np.ndarray, others: np.ndarray, sims: np.ndarray, least: float,
     return pd.DataFrame({"query_id": ids[q], "vec_id": others[v], "sim": sims[q, v]})
 
 
-def _pairs(queries: DataFrame, vectors: DataFrame, reduce, schema: str) -> DataFrame:
+def _pairs(queries: DataFrame, vectors: DataFrame, reduce) -> DataFrame:
     """reduce(query ids, vector ids, similarities) of every pair of blocks."""
-    a, b = queries.select("vec_id", "embedding"), vectors.select("vec_id", "embedding")
-    n = a.count()
-    if n <= ONE_BLOCK:
-        held = a.toPandas()
-        ids, left = held["vec_id"].to_numpy(), matrix(held["embedding"])
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in batches:
-                if len(part) and len(ids):
-                    yield reduce(ids, part["vec_id"].to_numpy(), _dots(left, matrix(part["embedding"])))
-
-        return b.mapInPandas(scan, schema)
-
-    blocks = -(-n // BLOCK)
-    parts = -(-vectors.count() // BLOCK)
-    number = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    # Own names on either side: both may come from one table.
-    left = a.select(F.col("vec_id").alias("qi"), F.col("embedding").alias("qe"), number("vec_id", blocks).alias("qx"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("qy"))
-    right = b.select(F.col("vec_id").alias("vi"), F.col("embedding").alias("ve"), number("vec_id", parts).alias("vy"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("vx"))
-
-    def both(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(p) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "sim": []})
-        return reduce(p["qi"].to_numpy(), q["vi"].to_numpy(), _dots(matrix(p["qe"]), matrix(q["ve"])))
-
-    return left.groupBy("qx", "qy").cogroup(right.groupBy("vx", "vy")).applyInPandas(both, schema)
+    prepare = lambda p: (p["vec_id"].to_numpy(), matrix(p["embedding"]))
+    meet = lambda q, p: reduce(q[0], p["vec_id"].to_numpy(), _dots(q[1], matrix(p["embedding"])))
+    columns = ["vec_id", "embedding"]
+    return against(queries.select(*columns), vectors.select(*columns), prepare, meet, SCHEMA, "vec_id", "vec_id", (ONE_BLOCK, BLOCK, BLOCK))
 
 
 SCHEMA = "query_id bigint, vec_id bigint, sim double"
@@ -90,14 +65,14 @@ SCHEMA = "query_id bigint, vec_id bigint, sim double"
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, vec_id, sim, rank): the k most similar vectors of every query; only k rows per query and block are shuffled."""
-    found = _pairs(queries, vectors, lambda i, j, s: _best(i, j, s, k, digits), SCHEMA)
+    found = _pairs(queries, vectors, lambda i, j, s: _best(i, j, s, k, digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
 
 
 def similar(left: DataFrame, right: DataFrame, least: float, digits: int = 4) -> DataFrame:
     """(src, dst, weight): all pairs of the two tables whose cosine, rounded, is at least `least`."""
-    found = _pairs(left, right, lambda i, j, s: _edges(i, j, s, least, digits), SCHEMA)
+    found = _pairs(left, right, lambda i, j, s: _edges(i, j, s, least, digits))
     return found.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"), F.col("sim").alias("weight"))
 
 

@@ -112,6 +112,10 @@ class Dialect:
         """Sorted distinct values of a group."""
         return f"list_sort(list(distinct {x}))"
 
+    def lines(self, pos: str, line: str) -> str:
+        """The lines of a group in order of position, joined by line ends."""
+        return f"string_agg({line}, chr(10) order by {pos})"
+
     def hash_int(self, x: str) -> str:
         """A portable number from 0 to 2^32 - 1."""
         return f"cast(('0x' || substr(md5({x}), 1, 8)) as bigint)"
@@ -230,6 +234,9 @@ class SparkDialect(Dialect):
     def collect(self, x: str) -> str:
         return f"array_sort(collect_set({x}))"
 
+    def lines(self, pos: str, line: str) -> str:
+        return f"array_join(transform(array_sort(collect_list(struct({pos}, {line}))), x -> x.{line}), '\\n')"
+
     def hash_int(self, x: str) -> str:
         return f"cast(conv(substr(md5({x}), 1, 8), 16, 10) as bigint)"
 

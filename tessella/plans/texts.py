@@ -124,7 +124,7 @@ def c34_tokens(q: Dialect) -> str:
 
 def c38_penalty(q: Dialect) -> str:
     """Index-like texts count a quarter."""
-    n = q.size(q.filter(q.find("substr(text, 1, 1200)", "[0-9]+"), "x", "length(x) <= 3"))
+    n = q.size(q.find("substr(text, 1, 1200)", r"\b\d{1,3}\b"))
     return f"select doc_id, case when contains(concat(' ', lower(substr(text, 1, 350)), ' '), ' index ') or {n} >= 35 then 0.25 else 1.0 end as penalty from {docs(q)} d"
 
 
@@ -195,22 +195,13 @@ def l2_typed(q: Dialect) -> str:
     from k a join k b on a.doc_id = b.doc_id and a.pos = b.pos where a.kind = 'product' and b.kind <> 'product' group by a.entity, b.entity, case when b.kind = 'voltage' then 'requires_voltage' else 'has_component' end"""
 
 
-def k3_keyword(q: Dialect) -> str:
-    """Keyword scores of the questions against their own first context."""
-    from tessella.plans.evaluate import contexts
-
-    overlap = q.size(q.filter(q.distinct(q.words("question", [], 2)), "w", "contains(c, w)"))
-    nums = q.size(q.filter(q.find("question", "[0-9]+(?:[.][0-9]+)?"), "n", "contains(c, n)"))
-    return f"select id, cast({overlap} as double) + 2.5 * {nums} as score from (select id, question, lower({q.join('ctx', ' ')}) as c from (select distinct id, question, {contexts(q, 'contexts')} as ctx from {q.t('autoq_questions')} where question is not null) x) y"
-
-
 def k20_best(q: Dialect) -> str:
-    """The context that shares most words with the truth, ties to the first."""
+    """The context that shares most words with the truth, whole; ties to the first."""
     from tessella.plans.evaluate import contexts, tokens
 
     return f"""with x as (select distinct id, ground_truth, {contexts(q, "contexts")} as ctx from {q.t("autoq_questions")} where ground_truth is not null), e as (select id, ground_truth, {q.positions("ctx", "pos", "c")} from x),
     s as (select id, pos, c, {q.size(q.common(tokens(q, "c"), tokens(q, "ground_truth")))} as shared from e), r as (select *, row_number() over (partition by id order by shared desc, pos) as k from s)
-    select id, pos, shared, substr(c, 1, 200) as best from r where k = 1"""
+    select id, cast(pos as bigint) as pos, shared, c as best from r where k = 1"""
 
 
 DUAL = [f for n, f in dict(globals()).items() if n[:1] in "cdekl" and n[1:2].isdigit() and f is not d8_batches]
