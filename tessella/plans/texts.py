@@ -20,7 +20,9 @@ QUESTION_TYPES = [
     ("procedure", ["install", "wire", "mount", "setup"]),
 ]
 HEADERS = r"^\s*(installation|specifications?|technical specifications|features|features and benefits|functions|description|general|electrical|mechanical|environmental|ordering information|parameters|input/output|approvals?|maintenance|overview|notes|wiring|questions)\s*$"
-ALIASES = {"bacnet protocol": "bacnet", "bacnet/ip": "bacnet", "bacnet ip": "bacnet", "bacnet mstp": "bacnet", "modbus protocol": "modbus"}
+ALIASES = {"bacnet protocol": "bacnet", "bacnet/ip": "bacnet", "bacnet ip": "bacnet", "bacnet mstp": "bacnet", "bacnet ms tp": "bacnet", "modbus protocol": "modbus", "24 volts": "24v", "24 volt": "24v", "24 v": "24v", "24vdc": "24v", "24 vac": "24v", "24vac": "24v"}
+CUE_PHRASES = ["up to", "rated input voltage", "operating temperature", "voltage", "capacity", "compatible"]
+SPEC_CUES = "voltage|power|candela|zones?|inputs?|outputs?|rated|temperature|capacity|impedance|[0-9]"
 COMPONENTS = "controller|sensor|module|amplifier|speaker|strobe|microphone|telephone|expander|panel|circuit|loop"
 
 
@@ -56,8 +58,7 @@ def c7_numbers(q: Dialect) -> str:
 
 def c8_cues(q: Dialect) -> str:
     """Which cue phrases a question holds."""
-    cues = ["up to", "rated input voltage", "operating temperature", "voltage", "capacity", "compatible"]
-    return f"select id, {q.join(q.filter(q.array(*map(quote, cues)), 'p', 'contains(lower(question), p)'), '|')} as cues from {asked(q)} d"
+    return f"select id, {q.join(q.filter(q.array(*map(quote, CUE_PHRASES)), 'p', 'contains(lower(question), p)'), '|')} as cues from {asked(q)} d"
 
 
 def c9_question_type(q: Dialect) -> str:
@@ -82,7 +83,7 @@ def c19_doc_type(q: Dialect) -> str:
 def c21_noise(q: Dialect) -> str:
     """Chunks without use: table-like, short figures, or short without any specification."""
     n = q.size(q.find("lower(text)", "[^ \\t\\r\\n]+"))
-    spec = q.like("lower(text)", "voltage|power|candela|zones?|inputs?|outputs?|rated|temperature|capacity|impedance|[0-9]")
+    spec = q.like("lower(text)", SPEC_CUES)
     return f"select doc_id, (contains(lower(text), 'table') or contains(lower(text), 'ul listed') or (contains(lower(text), 'figure') and {n} < 30) or ({n} < 15 and not {spec})) as noise from {docs(q)} d"
 
 
@@ -102,11 +103,20 @@ def d9_sentences(q: Dialect) -> str:
 
 
 def c24_normalize_entity(q: Dialect) -> str:
-    """Entities in canonical form: lower case, voltage as Nv, aliases."""
-    t = q.sub("lower(trim(field_value))", "[ \\t]+", " ")
-    volt = q.sub(q.group("t", "^([0-9]+(?:[.][0-9]+)?) ?(?:v|volt|volts|vac|vdc)(?: ?(?:ac|dc))?$"), "([.][0-9]*?)0+$", "\\1")
-    alias = " ".join(f"when t = '{k}' then '{v}'" for k, v in ALIASES.items())
-    return f"select distinct field_value, case when {q.like('t', '^([0-9]+(?:[.][0-9]+)?) ?(?:v|volt|volts|vac|vdc)(?: ?(?:ac|dc))?$')} then concat({volt}, 'v') {alias} else trim({q.sub('t', '[^a-z0-9./#+-]+', ' ')}) end as entity from (select field_value, {t} as t from {q.t('product_records')} where field_value is not null) x"
+    """Field values as entities in canonical form; what is left empty is an empty text."""
+    one = entity(q, q.array("field_value"))
+    return f"select field_value, {q.join(one, '')} as entity from (select distinct field_value from {q.t('product_records')} where field_value is not null) x"
+
+
+def c25_ordered_unique(q: Dialect) -> str:
+    """The canonical entities of a question's packed products, the first of equal ones kept; sorted for comparison."""
+    return f"select distinct id, {q.join(q.sort(q.distinct(entity(q, q.split('source_product', '[|;]')))), '|')} as entities from {q.t('autoq_questions')} where source_product is not null"
+
+
+def c30_targets(q: Dialect) -> str:
+    """Target entities of a question: its product text split at bars, commas, slashes and `and`, and the whole of it."""
+    parts = q.cat(q.split("source_product", r"(?i)\||,|/|\band\b"), q.array("source_product"))
+    return f"select distinct id, {q.join(q.sort(q.distinct(entity(q, parts))), '|')} as targets from {q.t('autoq_questions')} where source_product is not null"
 
 
 def c27_answer_norm(q: Dialect) -> str:
@@ -159,23 +169,78 @@ def d8_batches(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.floor(F.col("position") / 15).alias("batch"))
 
 
+KINDS = ("products", "protocols", "voltages", "components", "error_codes")
+
+
+def entity(q: Dialect, xs: str) -> str:
+    """A list of entities in canonical form: lower case, no punctuation at the ends, no trailing `protocol`, voltages as Nv, aliases; empty ones dropped."""
+    plain = q.sub(q.sub(q.sub("lower(x)", "[ \\t\\r\\n]+", " "), "^[^a-z0-9]+|[^a-z0-9]+$", ""), " ?protocol$", "")
+    volt = "^([0-9]+(?:[.][0-9]+)?)[ -]*(?:v|volt|volts|vac|vdc)(?: ?(?:ac|dc))?$"
+    number = q.sub(q.sub(q.group("t", volt), "([.][0-9]*?)0+$", "\\1"), "[.]$", "")
+    alias = " ".join(f"when t = '{k}' then '{v}'" for k, v in ALIASES.items())
+    return q.filter(q.map(q.map(xs, "x", plain), "t", f"case when {q.like('t', volt)} then concat({number}, 'v') {alias} else trim({q.sub('t', '[^a-z0-9./#+-]+', ' ')}) end"), "e", "e <> ''")
+
+
+def extracted(q: Dialect, text: str) -> dict[str, str]:
+    """The entities of a text by kind, each once and sorted. Accented letters are word characters, whatever the engine's \\b holds them for."""
+    text = q.sub(text, "[À-ÖØ-öø-ſ]", "_")
+    found = {
+        "products": q.find(text, r"\b[A-Z][A-Z0-9-]{2,}\b"),
+        "protocols": q.find(text, r"(?i)\b(?:BACnet|Modbus|LonWorks|SLC|NFC|Wi-?Fi|Ethernet)\b"),
+        "voltages": q.find(text, r"(?i)\b\d+(?:\.\d+)?\s*(?:VAC|VDC|volts?|V)\b"),
+        "components": q.find(text, rf"(?i)\b(?:{COMPONENTS})\b"),
+        "error_codes": q.find(text, r"(?i)\b(?:error|fault|code)\s*[A-Z]?\d{2,5}\b|\bE\d{2,5}\b"),
+    }
+    return {k: q.sort(q.distinct(entity(q, v))) for k, v in found.items()}
+
+
 def entities(q: Dialect, text: str) -> str:
-    """Entities of a text: product codes, voltages and components, lower case, each once, in order of kind."""
-    codes = q.map(q.find(text, "[A-Z]{2,}[-_ ]?[A-Z]*[0-9]{3,}[A-Z]?"), "x", "lower(x)")
-    volts = q.map(q.find(f"lower({text})", "[0-9]+(?:[.][0-9]+)? ?(?:vac|vdc|volts|v)[^a-z0-9]"), "x", q.sub("x", "[^0-9.]+", "") + " || 'v'")
-    parts = q.find(f"lower({text})", COMPONENTS)
-    return q.sort(q.distinct(q.cat(q.cat(codes, volts), parts)))
+    """All entities of a text, each once and sorted."""
+    by = list(extracted(q, text).values())
+    whole = by[0]
+    for x in by[1:]:
+        whole = q.cat(whole, x)
+    return q.sort(q.distinct(whole))
 
 
 def e1_entities(q: Dialect) -> str:
-    return f"select doc_id, {q.join(entities(q, 'text'), '|')} as entities from {docs(q)} d"
+    """Entities of every document by kind."""
+    return f"select doc_id, {', '.join(f'{q.join(v, chr(124))} as {k}' for k, v in extracted(q, 'text').items())} from {docs(q)} d"
+
+
+def e2_flatten(q: Dialect) -> str:
+    """The entities of all kinds in one list, in the order of the kinds, each once."""
+    held = ", ".join(f"{v} as {k}" for k, v in extracted(q, "text").items())
+    flat = KINDS[0]
+    for k in KINDS[1:]:
+        flat = q.cat(flat, q.filter(k, "e", f"not {q.has(flat, 'e')}"))
+    return f"select doc_id, {q.join(flat, '|')} as entities from (select doc_id, {held} from {docs(q)} d) x"
+
+
+def spoken(q: Dialect, sentence: str) -> str:
+    """A sentence in the canonical form of its entities, with a blank at either end."""
+    t = q.sub(f"translate(lower({sentence}), '‐‑–—', '----')", r"\bbacnet\s*(?:/ip|ip\b|mstp\b|ms/tp|protocol\b)?", " bacnet ")
+    t = q.sub(t, r"\b(\d+(?:\.\d+)?)\s*(?:vdc|vac|volts?|v)(?:\s*(?:dc|ac))?\b", " \\1v ")
+    return "concat(' ', " + q.sub(q.sub(q.sub(t, "[^a-z0-9./#+-]+", " "), "[./#+-]+( |$)", " "), " +", " ") + ", ' ')"
+
+
+def c23_sentence(q: Dialect) -> str:
+    """Every sentence in the canonical form of its entities."""
+    return f"with s as ({d9_sentences(q)}) select doc_id, pos, trim({spoken(q, 'sentence')}) as plain from s"
+
+
+def present(q: Dialect) -> str:
+    """CTE present: the sentences with their document's entities that stand in them as whole tokens, by kind; a sentence meets its own document's list only."""
+    held = ", ".join(f"{v} as {k}" for k, v in extracted(q, "text").items())
+    inside = ", ".join(f"{q.filter(k, 'e', 'contains(plain, concat(chr(32), e, chr(32)))')} as {k}" for k in KINDS)
+    return q.once("present", f"""pd as (select doc_id, {held}, {sentences(q, "text")} as s from {docs(q)} d), pe as (select doc_id, {', '.join(KINDS)}, {q.positions("s", "pos", "sentence")} from pd),
+    pp as (select *, {spoken(q, "sentence")} as plain from pe), present as (select doc_id, cast(pos as bigint) as pos, sentence, {inside} from pp)""")
 
 
 def e4_present(q: Dialect) -> str:
-    """Entities of the document that stand in each sentence as whole tokens."""
-    padded = "concat(' ', " + q.sub("lower(sentence)", "[^a-z0-9-]+", " ") + ", ' ')"
-    return f"""with s as ({d9_sentences(q)}), e as (select doc_id, {q.explode("es")} as entity from (select doc_id, {entities(q, "text")} as es from {docs(q)} d) x)
-    select s.doc_id, s.pos, e.entity from s join e on s.doc_id = e.doc_id where contains({padded}, concat(' ', e.entity, ' '))"""
+    """Entities of the document that stand in each sentence as whole tokens, with their kind."""
+    one = lambda k: f"select doc_id, pos, '{k}' as kind, {q.explode(k)} as entity from present"
+    return f"with {present(q)} {' union all '.join(one(k) for k in KINDS)}"
 
 
 def l1_cooc(q: Dialect) -> str:
@@ -184,15 +249,53 @@ def l1_cooc(q: Dialect) -> str:
     select a.entity as src, b.entity as dst, count(*) as weight, min(a.doc_id) as first_doc from e a join e b on a.doc_id = b.doc_id and a.entity < b.entity group by a.entity, b.entity"""
 
 
+# Cues of the relation rules.
+CUES = {
+    "supports": r"\b(supports?|supporting|protocol|communicates?|communication|network|networked|ethernet|bacnet|modbus|slc)\b",
+    "voltage": r"\b(requires?|powered|power|supply|voltage|operat(?:es|ing)|input|output|vdc|vac|volts?)\b",
+    "component": r"\b(includes?|contains?|has|with|features?|equipped|module|sensor|controller|panel|amplifier|speaker|strobe|microphone|circuit|loop)\b",
+    "compatible": r"\b(compatible with|works with|used with|connects? to|interfaces? with|integrates? with|supports?)\b",
+    "install": r"\b(install(?:ed|ation)?|mount(?:ed|ing)?|wire(?:d|s|ing)?|connect(?:ed|s|ion)?)\b",
+    "error": r"\b(error|fault|trouble|indicates?|means|code|condition|alarm)\b",
+}
+
+
+def relations(q: Dialect) -> str:
+    """CTE relations: (doc_id, pos, sentence, src, dst, relation, confidence) by the six rules of a sentence."""
+    cue = lambda name: q.like("lower(sentence)", CUES[name])
+    both = q.distinct(q.cat("products", "components"))
+    few = q.slice("components", "1", "8")
+    rules = [
+        ("supports_protocol", both, "protocols", f"case when {cue('supports')} then 0.92 else 0.78 end", "true"),
+        ("requires_voltage", both, "voltages", f"case when {cue('voltage')} then 0.94 else 0.8 end", "true"),
+        ("has_component", "products", "components", f"case when {cue('component')} then 0.9 else 0.72 end", "true"),
+        ("compatible_with", "products", few, "0.86", cue("compatible")),
+        ("installed_with", "products", few, "0.84", cue("install")),
+        ("indicates_fault", "error_codes", both, "0.9", cue("error")),
+    ]
+    one = lambda name, a, b, c, where: f"select doc_id, pos, sentence, src, {q.explode('bs')} as dst, '{name}' as relation, cast(confidence as double) as confidence from (select doc_id, pos, sentence, {q.explode(a)} as src, {b} as bs, {c} as confidence from present where {where}) r"
+    return f"{present(q)}, relations as ({' union all '.join(one(*r) for r in rules)})"
+
+
 def l2_typed(q: Dialect) -> str:
-    """Rule-typed edges of sentences: products to components and voltages, with the greatest confidence."""
-    kind = f"case when {q.like('entity', '^(' + COMPONENTS + ')$')} then 'component' when {q.like('entity', '^[0-9.]+v$')} then 'voltage' else 'product' end"
-    cue = q.like("lower(sentence)", "requires?|powered|power|supply|voltage|input|output")
-    comp = q.like("lower(sentence)", "includes?|contains?|has|with|features?|equipped|module|sensor")
-    return f"""with p as ({e4_present(q)}), s as ({d9_sentences(q)}), k as (select p.doc_id, p.pos, p.entity, s.sentence, {kind} as kind from p join s on p.doc_id = s.doc_id and p.pos = s.pos)
-    select a.entity as src, b.entity as dst, case when b.kind = 'voltage' then 'requires_voltage' else 'has_component' end as relation, count(*) as weight,
-    max(case when b.kind = 'voltage' then case when {cue.replace("sentence", "a.sentence")} then 0.94 else 0.8 end else case when {comp.replace("sentence", "a.sentence")} then 0.9 else 0.72 end end) as confidence
-    from k a join k b on a.doc_id = b.doc_id and a.pos = b.pos where a.kind = 'product' and b.kind <> 'product' group by a.entity, b.entity, case when b.kind = 'voltage' then 'requires_voltage' else 'has_component' end"""
+    """Rule-typed edges of sentences, each once: rule firings, documents, greatest confidence, and the first evidence, cut to 240 characters."""
+    first = "min_by" if q.spark else "arg_min"
+    clean = f"substr(trim({q.sub('sentence', '[ \\t\\r\\n]+', ' ')}), 1, 240)"
+    return f"""with {relations(q)} select src, dst, relation, count(*) as weight, count(distinct doc_id) as documents, max(confidence) as confidence, {first}({clean}, doc_id * 100000 + pos) as evidence from relations where src <> dst group by src, dst, relation"""
+
+
+def l3_kinds(q: Dialect) -> str:
+    """The kinds of every entity, joined."""
+    one = lambda k: f"select '{k}' as kind, {q.explode(k)} as entity from (select {extracted(q, 'text')[k]} as {k} from {docs(q)} d) x"
+    return f"with k as ({' union all '.join(one(k) for k in KINDS)}) select entity, {q.join(q.collect('kind'), '|')} as kinds, count(*) as documents from k group by entity"
+
+
+def i5_selection(q: Dialect) -> str:
+    """The 48 documents with the strongest signal that have at least two entities: 3 for each product, protocol and voltage, 2 for each code, 1 for each component."""
+    weights = dict(zip(KINDS, (3, 3, 3, 1, 2)))
+    held = ", ".join(f"{v} as {k}" for k, v in extracted(q, "text").items())
+    score = " + ".join(f"{w} * {q.size(k)}" for k, w in weights.items())
+    return f"select doc_id, {score} as score from (select doc_id, {held} from {docs(q)} d) x where {' + '.join(q.size(k) for k in KINDS)} >= 2 order by score desc, doc_id limit 48"
 
 
 def k20_best(q: Dialect) -> str:
@@ -204,7 +307,7 @@ def k20_best(q: Dialect) -> str:
     select id, cast(pos as bigint) as pos, shared, c as best from r where k = 1"""
 
 
-DUAL = [f for n, f in dict(globals()).items() if n[:1] in "cdekl" and n[1:2].isdigit() and f is not d8_batches]
+DUAL = [f for n, f in dict(globals()).items() if n[:1] in "cdeikl" and n[1:2].isdigit() and f is not d8_batches]
 QUERIES, ORACLES = both({f.__name__: f for f in DUAL})
 QUERIES["d8_batches"] = d8_batches
 ORACLES["d8_batches"] = "select doc_id, cast(floor((row_number() over (order by doc_id) - 1) / 15.0) as bigint) as batch from source_documents"
