@@ -12,7 +12,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LADDERS = {"datasheet": ["\n\n", "\n", ". ", " "], "manual": ["\n\n", "\n", ". ", "; ", " "], "other": ["\n\n", "\n", " "]}
+# Separators, size and overlap by type of document.
+LADDERS = {
+    "installation": (["\n\n", "\n", "1.", "2.", "3.", ".", " "], 1000, 200),
+    "datasheet": (["\nTechnical Specifications\n", "\nSpecifications\n", "\nFeatures and Benefits\n", "\nFeatures\n", "\nElectrical\n", "\nMechanical\n", "\nEnvironmental\n", "\nDescription\n", "\nGeneral\n", "\n\n", "\n"], 700, 120),
+    "other": (["\n\n", "\n", ".", " "], 800, 150),
+}
 
 
 def recursive_split(text: str, ladder: list[str], size: int, overlap: int) -> list[str]:
@@ -59,12 +64,12 @@ def pack(parts: list[str], limit: int) -> list[list[str]]:
     return out
 
 
-def split_documents(docs: DataFrame, size: int = 700, overlap: int = 120) -> DataFrame:
-    """(doc_id, pos, chunk) by recursive splitting with the ladder of the document's type."""
+def split_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, chunk) by recursive splitting with the separators, size and overlap of the document's type."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, k, c) for i, t, kind in zip(b["doc_id"], b["text"], b["doc_type"]) if t for k, c in enumerate(recursive_split(t, LADDERS.get(kind, LADDERS["other"]), size, overlap))]
+            rows = [(i, k, c) for i, t, kind in zip(b["doc_id"], b["text"], b["doc_type"]) if t for k, c in enumerate(recursive_split(t, *LADDERS.get(kind, LADDERS["other"])))]
             yield pd.DataFrame(rows, columns=["doc_id", "pos", "chunk"])
 
     return docs.select("doc_id", "text", "doc_type").mapInPandas(run, "doc_id bigint, pos bigint, chunk string")
@@ -82,3 +87,17 @@ def pack_paragraphs(docs: DataFrame, limit: int = 120) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "pos", "chunk"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, pos bigint, chunk string")
+
+
+def batch_sentences(docs: DataFrame, limit: int = 60) -> DataFrame:
+    """(doc_id, batch, n, tokens): the lines of each document in batches of at most limit estimated tokens, in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, t in zip(b["doc_id"], b["text"]):
+                parts = [p for p in (t or "").split("\n") if p.strip()]
+                rows += [(i, k, len(c), sum(max(1, len(p) // 4) for p in c)) for k, c in enumerate(pack(parts, limit))]
+            yield pd.DataFrame(rows, columns=["doc_id", "batch", "n", "tokens"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, batch bigint, n bigint, tokens bigint")

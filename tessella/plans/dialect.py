@@ -22,6 +22,7 @@ class Dialect:
     """DuckDB's spelling."""
 
     spark = False
+    nl = "chr(10)"
     empty = "cast([] as varchar[])"
 
     def t(self, name: str) -> str:
@@ -96,6 +97,10 @@ class Dialect:
         """The elements of a JSON array as texts (objects as JSON), an empty array if it is none."""
         return f"case when json_valid({json}) and json_type({json}) = 'ARRAY' then list_transform(from_json({json}, '[\"JSON\"]'), lambda e: e ->> '$') else cast([] as varchar[]) end"
 
+    def valid_object(self, *texts: str) -> str:
+        """The first of some texts that is a JSON object, null if none is."""
+        return "coalesce(" + ", ".join(f"case when json_valid({t}) and json_type({t}) = 'OBJECT' then {t} end" for t in texts) + ")"
+
     def field(self, json: str, name: str) -> str:
         return f"json_extract_string({json}, '$.{name}')"
 
@@ -219,6 +224,9 @@ class SparkDialect(Dialect):
     def strings(self, json: str) -> str:
         return f"case when rtrim({json}) like '%]' and ltrim({json}) like '[%' then coalesce(from_json({json}, 'array<string>', map('allowSingleQuotes', 'false')), cast(array() as array<string>)) else cast(array() as array<string>) end"
 
+    def valid_object(self, *texts: str) -> str:
+        return "coalesce(" + ", ".join(f"case when try_variant_get(try_parse_json({t}), '$', 'map<string, variant>') is not null then {t} end" for t in texts) + ")"
+
     def field(self, json: str, name: str) -> str:
         return f"get_json_object({json}, '$.{name}')"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators.chunking import pack_paragraphs, split_documents
+from tessella.operators.chunking import batch_sentences, pack_paragraphs, split_documents
 from tessella.operators.graph import bfs, components, hops_to, path_precision
 from tessella.plans.dialect import Dialect, SparkDialect
 from tessella.plans.vectors import n1_pairs, typed
@@ -72,7 +72,11 @@ def d6_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack_paragraphs(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (l4_bfs, l5_hops, l6_precision, l7_components, n6_clusters, n7_merge, d2_split, d6_packing)}
+def d7_batches(spark: SparkSession, d: str) -> DataFrame:
+    return batch_sentences(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (l4_bfs, l5_hops, l6_precision, l7_components, n6_clusters, n7_merge, d2_split, d6_packing, d7_batches)}
 QUERIES |= {"st1_tumbling": windows.st1_tumbling, "st2_sliding": windows.st2_sliding, "st3_session": windows.st3_session, "st4_dedupe": windows.st4_dedupe, "st5_late": windows.st5_late}
 
 _D = Dialect()
