@@ -34,9 +34,9 @@ def read_optional(spark: SparkSession, path: str, schema: str, kind: str = "csv"
     return read_csv(spark, path, schema) if kind == "csv" else spark.read.schema(schema).json(path, multiLine=kind == "json")
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = True) -> DataFrame:
     """JSON lines (blank lines skipped) or one JSON array."""
-    return spark.read.json(path, multiLine=not lines)
+    return spark.read.json(path, schema=schema, multiLine=not lines)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
@@ -46,7 +46,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """CSV with a fixed column list; missing columns and nulls are empty."""
-    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]).write.mode("overwrite").option("header", "true").option("escape", '"').option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
 
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
