@@ -181,7 +181,7 @@ def o11_coverage(q: Dialect) -> str:
 def o12_interpret(q: Dialect) -> str:
     """Losses of the graph system split at the median coverage."""
     return f"""with c as ({o11_coverage(q)}), r as ({o9_rows(q)}), m as (select {q.percentile("coverage", 0.5)} as mid from c)
-    select r.id, r.winner, c.coverage, case when r.winner <> 'vector' then 'no_loss' when c.coverage < m.mid then 'coverage_gap' else 'reasoning_gap' end as reading from r join c on r.id = c.id cross join m"""
+    select r.id, r.winner, c.coverage, case when r.winner <> 'vector' then 'no_loss' when c.coverage < (select mid from m) then 'coverage_gap' else 'reasoning_gap' end as reading from r join c on r.id = c.id"""
 
 
 def o13_contain(q: Dialect) -> str:
@@ -263,7 +263,7 @@ def p3_kappa(q: Dialect) -> str:
     """Cohen's kappa of the two winner rules."""
     return f"""with a as ({q5_disagree(q)}), n as (select count(*) as n, sum(case when winner = better then 1 else 0 end) as same from a), l as (select winner as label, count(*) as c, 0 as d from a group by winner union all select better, 0, count(*) from a group by better),
     m as (select label, sum(c) as c, sum(d) as d from l group by label), e as (select cast(sum(c * d) as double) as e from m)
-    select round((cast(same as double) / n - e / n / n) / nullif(1 - e / n / n, 0), 6) as kappa, n as n_rows from n cross join e"""
+    select round((cast(same as double) / n - e / n / n) / nullif(1 - e / n / n, 0), 6) as kappa, n as n_rows from (select n, same, (select e from e) as e from n) x"""
 
 
 def b2_context_texts(q: Dialect) -> str:

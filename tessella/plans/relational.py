@@ -197,7 +197,7 @@ def h3_renumber(spark: SparkSession, d: str) -> DataFrame:
     """Ids continued after another table's greatest."""
     top = table(spark, d, "customer").agg(F.max("c_custkey").alias("top"))
     rows = with_position(table(spark, d, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"], "k", 1)
-    return rows.crossJoin(F.broadcast(top)).select("s_name", (F.col("k") + F.col("top")).alias("new_id"))
+    return rows.select("s_name", (F.col("k") + top.scalar()).alias("new_id"))
 
 
 def h4_running(q: Dialect) -> str:

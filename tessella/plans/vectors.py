@@ -57,8 +57,7 @@ def m2_web(spark: SparkSession, d: str) -> DataFrame:
     sims = f12_sim_join(spark, d)
     spans = table(spark, d, "embeddings").agg(F.max("vec_id").alias("top"))
     edges = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    user = F.pmod("l_partkey", F.floor(F.col("top") / 2) + 1) * 2
-    named = edges.crossJoin(F.broadcast(spans)).withColumn("user", user)
+    named = edges.withColumn("user", F.pmod("l_partkey", F.floor(spans.scalar() / 2) + 1) * 2)
     found = named.join(sims, named["user"] == sims["src"])
     return found.select("l_partkey", "l_suppkey", F.col("dst").alias("web"), F.round(F.lit(0.6) * F.col("weight"), 3).alias("confidence"))
 
