@@ -173,15 +173,15 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, seed: i
     full = targets.join(got, "source", "left").na.fill(0, ["tokens", "documents", "most_repeats"])
     # The share that can be reached: that of the target among the sources with documents.
     live = (F.col("tokens") > 0).cast("double") * F.coalesce("target_share", F.lit(0.0))
-    sums = full.agg(F.sum("tokens").alias("all_tokens"), F.sum(live).alias("live_share"))
-    report = full.crossJoin(F.broadcast(sums)).select(
+    every, live_share = full.agg(F.sum("tokens")).scalar(), full.agg(F.sum(live)).scalar()
+    report = full.select(
         "source",
         "target_share",
         "max_repeats",
         "documents",
         F.col("tokens").cast("bigint").alias("tokens"),
         F.col("most_repeats").cast("bigint").alias("most_repeats"),
-        F.round(F.try_divide(F.col("tokens").cast("double"), F.col("all_tokens")), 6).alias("actual_share"),
-        F.round(F.try_divide(live, F.col("live_share")), 6).alias("reachable_share"),
+        F.round(F.try_divide(F.col("tokens").cast("double"), every), 6).alias("actual_share"),
+        F.round(F.try_divide(live, live_share), 6).alias("reachable_share"),
     )
     return uses, report.withColumn("deviation", F.round(F.col("actual_share") - F.col("reachable_share"), 6))
