@@ -16,7 +16,7 @@ from tessella.operators.vectors import nearest
 from tessella.plans.dialect import Dialect, SparkDialect, both
 from tessella.plans.retrieve import QUERIES_OF, _chunks, _questions
 from tessella.plans.texts import docs, entities, l1_cooc
-from tessella.session import keep, table
+from tessella.session import keep, spread
 
 HOPS = 2
 
@@ -45,7 +45,7 @@ def k25_graph(spark: SparkSession, d: str) -> DataFrame:
 def k11_expand(spark: SparkSession, d: str) -> DataFrame:
     """Vector search for the query set by the embedding provider, the five nearest documents, expanded to the products they name."""
     asked = _questions(spark, d, QUERIES_OF).select(F.xxhash64(F.lit("q"), "id").alias("vec_id"), "id", hashed_embedding(F.col("question")).alias("embedding"))
-    held = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("vec_id"), "product_name", hashed_embedding(F.col("text")).alias("embedding"))
+    held = spread(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("vec_id"), "product_name", hashed_embedding(F.col("text")).alias("embedding"))
     near = nearest(asked, held, 5).join(held.select("vec_id", "product_name"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), "id"), "query_id")
     return near.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("product_name")), "|").alias("products"), F.max("sim").alias("sim"))
 
@@ -66,7 +66,7 @@ def _by_line(build: Callable[[str], list[str]]) -> Callable[[SparkSession, str],
                 rows = [(i, k, x) for i, t in zip(b["doc_id"], b["text"]) if t for k, x in enumerate(build(t))]
                 yield pd.DataFrame(rows, columns=["doc_id", "pos", "line"])
 
-        return table(spark, d, "documents").select("doc_id", "text").mapInPandas(lines, "doc_id bigint, pos bigint, line string")
+        return spread(spark, d, "documents").select("doc_id", "text").mapInPandas(lines, "doc_id bigint, pos bigint, line string")
 
     return run
 

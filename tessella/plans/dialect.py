@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.session import keep
+from tessella.session import keep, tasks_missing
+
+TEXTS = ("documents", "autoq_questions", "predictions", "product_records")  # tables whose expressions cost more than their scan
 
 
 def quote(text: str) -> str:
@@ -162,7 +164,10 @@ class SparkDialect(Dialect):
         return f"{name} as (select * from {view})"
 
     def t(self, name: str) -> str:
-        return f"parquet.`{self.folder}/{name}.parquet`"
+        path = f"{self.folder}/{name}.parquet"
+        if name in TEXTS and (n := tasks_missing(self.session, path)):
+            return f"(select /*+ REPARTITION({n}) */ * from parquet.`{path}`)"
+        return f"parquet.`{path}`"
 
     def fn(self, var: str, body: str) -> str:
         return f"{var} -> {body}"

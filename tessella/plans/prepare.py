@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from tessella.operators.packed import packed_texts, split_packed
 from tessella.operators.units import normalise_units
 from tessella.operators.wide import unpivot, widen
-from tessella.session import table
+from tessella.session import spread, table
 
 
 def p1_units(spark: SparkSession, d: str) -> DataFrame:
     """Every quantity record in the common unit, stated or inferred, with posterior and flag."""
-    return normalise_units(table(spark, d, "product_records"), table(spark, d, "field_catalog"))
+    return normalise_units(spread(spark, d, "product_records"), table(spark, d, "field_catalog"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,18 +23,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
     """One row per product with typed columns; the maps of failed casts as text so that they can be compared."""
-    wide = widen(table(spark, d, "product_records"), table(spark, d, "products"), table(spark, d, "field_catalog"))
+    wide = widen(spread(spark, d, "product_records"), table(spark, d, "products"), table(spark, d, "field_catalog"))
     return wide.withColumns({c: F.to_json(c) for c in ("cast_failures", "all_cast_failures")})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The filled cells of the wide table."""
-    return unpivot(widen(table(spark, d, "product_records"), table(spark, d, "products"), table(spark, d, "field_catalog"), False))
+    return unpivot(widen(spread(spark, d, "product_records"), table(spark, d, "products"), table(spark, d, "field_catalog"), False))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The values of all fields that hold at least two."""
-    texts = packed_texts(table(spark, d, "autoq_questions"), table(spark, d, "product_records"), table(spark, d, "field_catalog"))
+    texts = packed_texts(spread(spark, d, "autoq_questions"), spread(spark, d, "product_records"), table(spark, d, "field_catalog"))
     return split_packed(texts, table(spark, d, "products"))
 
 

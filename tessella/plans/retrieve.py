@@ -19,7 +19,7 @@ from tessella.operators.staged import staged
 from tessella.plans.dialect import Dialect, SparkDialect, both, quote
 from tessella.plans.evaluate import contexts, tokens
 from tessella.plans.texts import BAG_STOP, HEADERS, any_of, docs, sentences
-from tessella.session import keep, table
+from tessella.session import keep, spread, table
 
 QUERIES_OF = 20
 # Product codes and numbers of a question.
@@ -270,7 +270,7 @@ def k9_staged(spark: SparkSession, d: str) -> DataFrame:
 def k10_records(spark: SparkSession, d: str) -> DataFrame:
     """The five best records for every question of the query set; those of the fields it names come first."""
     catalog = table(spark, d, "field_catalog").select("field_name").distinct()
-    return search_records(_questions(spark, d, QUERIES_OF), table(spark, d, "product_records"), catalog)
+    return search_records(_questions(spark, d, QUERIES_OF), spread(spark, d, "product_records"), catalog)
 
 
 def k14_lines(spark: SparkSession, d: str) -> DataFrame:

@@ -60,6 +60,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scan_tasks: dict[str, int] = {}
+
+
+def tasks_missing(spark: SparkSession, path: str) -> int:
+    """0 if a table's scan keeps every core busy, else the number of tasks that would: a file of one row group is read by one task, whatever its texts cost."""
+    cores = spark.sparkContext.defaultParallelism
+    if path not in _scan_tasks:
+        _scan_tasks[path] = spark.read.parquet(path).rdd.getNumPartitions()
+    return cores if _scan_tasks[path] < cores else 0
+
+
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """`table` for work that costs much more than reading: its rows are dealt out to all cores if the scan has fewer tasks; filters and column choices still reach the scan."""
+    df = table(spark, sf_dir, name)
+    n = tasks_missing(spark, f"{sf_dir}/{name}.parquet")
+    return df.repartition(n) if n else df
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if it is counted to hold at most `rows` rows, otherwise `df` itself.
 
