@@ -10,12 +10,12 @@ from tessella.llm.neardup import alike_pairs
 from tessella.llm.pairs import find_defects
 from tessella.llm.stuffing import score_pages
 from tessella.llm.tokens import encode, encode_with_offsets, round_trip
-from tessella.session import table
+from tessella.session import spread, table
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The pairs with a defect, and its kind."""
-    return find_defects(table(spark, d, "autoq_questions"))
+    return find_defects(spread(spark, d, "autoq_questions"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -25,32 +25,32 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k."""
-    return encode(table(spark, d, "documents"))
+    return encode(spread(spark, d, "documents"))
 
 
 def p6_offsets(spark: SparkSession, d: str) -> DataFrame:
     """The ids with the bytes and characters they cover."""
-    return encode_with_offsets(table(spark, d, "documents"))
+    return encode_with_offsets(spread(spark, d, "documents"))
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Whether each document's ids decode to its text."""
-    return round_trip(table(spark, d, "documents"))
+    return round_trip(spread(spark, d, "documents"))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """Every document of the mix with the source it counts for and how often it is used."""
-    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mix(spread(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual share of every source."""
-    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mix(spread(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     """Perplexity and abnormal share of every document with text."""
-    return score_pages(table(spark, d, "documents"))
+    return score_pages(spread(spark, d, "documents"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
