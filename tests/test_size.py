@@ -2,9 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 
+import tessella.operators.additive as additive
 import tessella.operators.graph as graph
+import tessella.operators.lexical as lexical
 
 
 @pytest.mark.parametrize("edges", [graph.EDGES, 0])
@@ -31,3 +34,24 @@ def test_grouped_search_of_a_graph(spark, monkeypatch, edges):
     frame = lambda rows, names: spark.createDataFrame(rows, names)
     got = graph.within(frame(pairs, "src string, dst string"), frame(starts, "id string, node string"), frame(goals, "id string, node string"), 2).collect()
     assert {r.id: (r.nodes, r.hops) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_scan_of_many_blocks_and_parts(monkeypatch, k):
+    for module in (additive, lexical):
+        monkeypatch.setattr(module, "BLOCK", 7)
+    monkeypatch.setattr(lexical, "ROWS", 16)
+    monkeypatch.setattr(additive, "WAITING", 50)
+    r = random.Random(8)
+    words = "rated input voltage 24 12.5 capacity up to L-PCM RK-ZONE8 AB12 horn field-selectable candela how many compatible designed for x9 spec 1/4,".split()
+    made = lambda n: " ".join(r.choice(words) for _ in range(r.randint(1, n)))
+    asked = [(str(i), made(8)) for i in range(45)]
+    chunks = [(f"c{r.randrange(10**6)}-{i}", made(6), r.choice(["", "spec", None]), r.choice(["general", "specification"]), r.choice(["1 ab12", "l-pcm", ""])) for i in range(150)]
+    rows = pd.DataFrame(chunks, columns=["chunk_id", "text", "header", "block", "doc"])
+    index = lexical.Index(pd.DataFrame(asked, columns=["id", "question"]), k)
+    got = {}
+    for x in pd.concat(index.stream([rows[:70], rows[70:71], rows[71:]])).itertuples():
+        got.setdefault(x.id, []).append((x.chunk_id, x.lexical))
+    for i, q in asked:
+        scored = [(c[0], lexical.lexical_score(lexical.Question.of(q), *[x or "" for x in c[1:]])) for c in chunks]
+        assert got.get(i, []) == sorted([s for s in scored if s[1] > 0], key=lambda s: (-s[1], s[0]))[:k]
