@@ -8,6 +8,7 @@ import pytest
 import tessella.operators.additive as additive
 import tessella.operators.graph as graph
 import tessella.operators.lexical as lexical
+import tessella.operators.recordsearch as recordsearch
 
 
 @pytest.mark.parametrize("edges", [graph.EDGES, 0])
@@ -55,3 +56,32 @@ def test_scan_of_many_blocks_and_parts(monkeypatch, k):
     for i, q in asked:
         scored = [(c[0], lexical.lexical_score(lexical.Question.of(q), *[x or "" for x in c[1:]])) for c in chunks]
         assert got.get(i, []) == sorted([s for s in scored if s[1] > 0], key=lambda s: (-s[1], s[0]))[:k]
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_records_by_classes(monkeypatch, k):
+    for module in (additive, recordsearch):
+        monkeypatch.setattr(module, "BLOCK", 7)
+    monkeypatch.setattr(recordsearch, "ROWS", 5)
+    r = random.Random(9)
+    words = "rated voltage 24 100054 capacity up to l-pcm RK-ZONE8 AB12 color compatible designed for x9 ab12".split()
+    made = lambda n: " ".join(r.choice(words) for _ in range(r.randint(1, n)))
+    fields = ["capacity", "color", "rated_voltage"]
+    asked = [(str(i), made(6)) for i in range(40)] + [("100", "Which 100054?")]
+    records = [(f"r{r.randrange(10**6)}-{i}", r.choice(["d1", "l-pcm", None]), r.choice(["L-PCM", "RK-ZONE8", None]), r.choice([*fields, "other"]), made(2), None, None) for i in range(200)]
+    rows = pd.DataFrame([*records, *records[:9]], columns=["record_id", "doc_id", *recordsearch.TEXTS])
+    index = recordsearch.Index(pd.DataFrame(asked, columns=["id", "question"]), fields, k)
+    got = {}
+    for x in pd.concat(index.stream([rows[:80], rows[80:]])).itertuples():
+        got.setdefault((x.id, x.named), []).append((x.record_id, x.score))
+    for i, q in asked:
+        named = recordsearch.hints(q, fields)
+        scored = [(x[0], recordsearch.record_score(lexical.Question.of(q), named, dict(zip(recordsearch.TEXTS, [y or "" for y in x[2:]])), x[1] or ""), x[3] in named) for x in records]
+        for kind in (False, True):
+            assert got.get((i, kind), []) == sorted([s[:2] for s in scored if s[1] > 0 and s[2] == kind], key=lambda s: (-s[1], s[0]))[:k]
+
+
+def test_a_number_that_is_a_word_counts_as_both(spark):
+    records = spark.createDataFrame([("r1", "d", None, "other", "100054", None, None)], "record_id string, doc_id string, product_name string, field_name string, field_value string, evidence_text string, section_header string")
+    got = recordsearch.search_records(spark.createDataFrame([("1", "Which 100054?")], "id string, question string"), records, spark.createDataFrame([("color",)], "field_name string")).collect()
+    assert [(r.record_id, r.score) for r in got] == [("r1", 5.5)]
