@@ -85,3 +85,16 @@ def test_a_number_that_is_a_word_counts_as_both(spark):
     records = spark.createDataFrame([("r1", "d", None, "other", "100054", None, None)], "record_id string, doc_id string, product_name string, field_name string, field_value string, evidence_text string, section_header string")
     got = recordsearch.search_records(spark.createDataFrame([("1", "Which 100054?")], "id string, question string"), records, spark.createDataFrame([("color",)], "field_name string")).collect()
     assert [(r.record_id, r.score) for r in got] == [("r1", 5.5)]
+
+
+def test_embedding_counts_words_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.operators.providers import hashed_embedding
+
+    texts = ["a b a", "", None, "24 volt, A"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, text string")
+    df = rows.select("n", hashed_embedding(F.col("text")).alias("v"), F.expr("transform(filter(split(lower(coalesce(text, '')), '[^a-z0-9]+'), w -> w <> ''), w -> pmod(xxhash64(w), 64))").alias("at"))
+    assert "sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        assert r.v == [float(r["at"].count(i)) for i in range(64)]
