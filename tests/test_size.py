@@ -98,3 +98,15 @@ def test_embedding_counts_words_in_one_pass(spark):
     assert "sequence" not in df._jdf.queryExecution().optimizedPlan().toString()
     for r in df.collect():
         assert r.v == [float(r["at"].count(i)) for i in range(64)]
+
+
+def test_the_last_round_of_a_search_is_not_written(spark, monkeypatch):
+    written = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(real(df)) or written[-1])
+    edges = spark.createDataFrame([("a", f"b{i}") for i in range(30)] + [(f"b{i}", f"c{j}") for i in range(30) for j in range(40)], "src string, dst string")
+    got = graph.bfs(edges, spark.createDataFrame([("a",), ("c1",), ("x",)], "node string"), 2).collect()
+    far = [("c1", f"c{j}", 2) for j in range(40) if j != 1] + [("a", f"c{j}", 2) for j in range(40)]
+    near = [(s, f"b{i}", 1) for s in ("a", "c1") for i in range(30)] + [("a", "a", 0), ("c1", "c1", 0), ("c1", "a", 2), ("x", "x", 0)]
+    assert sorted((r.start, r.node, r.hops) for r in got) == sorted(far + near)
+    assert not any("hops" in df.columns and df.where("hops = 2").count() for df in written)
