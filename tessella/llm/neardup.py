@@ -12,7 +12,10 @@ rho = (1 - t) / (1 + t).
    segments in a fixed order until floor(a + A) + 1 of them are not crowded, A being the greatest slack of
    the band. By the pigeonhole principle two alike sets then agree in an emitted segment: of the two, take
    the one whose emission ends first; one of its segments has no difference, and the other set emits it too.
-   Sets that run out of segments emit all of them.
+   A set that runs out of segments against partners of a class of slacks, floor(a + the class's bound) + 1
+   being more than its calm ones, also emits its crowded segments, marked with both classes. A pair meets in
+   them only if both run out against each other, so the many sets of little slack are not compared with
+   one another there because a few have much.
 3. Allocation is by cost: D and the limit of a crowded segment are the greatest whose comparisons stay
    within a budget for each set. If a band's sets are so small that its segments would hold less than
    MIN_SEGMENT words, it takes half as many segments and adds their one-deletion neighbourhoods, as a
@@ -20,7 +23,7 @@ rho = (1 - t) / (1 + t).
 4. Sets that share a signature are compared by a parity sketch, which never misses, then verified exactly.
 
 Only bitmaps of at most 2^MAX_BITS bits, and tables by size or count, reach the driver. Equal sets are one
-set throughout and are expanded to ids at the end; a crowded signature is split by the skew join.
+set throughout and are expanded to ids at the end; a crowded signature of two classes is split by the skew join.
 
 Defined results: null texts count as empty; sets without words pair with none; null ids are left out; rows
 delivered twice count once; texts are read whole; an empty table gives no pair.
@@ -46,7 +49,8 @@ RARE_BUDGET = 120  # comparisons for each set by rare words
 SEGMENT_BUDGET = 800  # comparisons for each set by segments
 MIN_SEGMENT = 1.2
 BAND = 4  # ratio of the bounds of size bands
-SIGNATURES = "sig bigint, key bigint, l int, lo bigint, hi bigint, hot boolean"
+SIGNATURES = "sig bigint, key bigint, l int, lo bigint, hi bigint, side int"
+CALM, LOWER, UPPER = 0, 1, 2  # side of a signature: it meets all, or as the lower or the upper class of its mark
 
 
 def word_set(*texts: Column) -> Column:
@@ -186,6 +190,18 @@ def seal(sums: np.ndarray, segment: np.ndarray, band: int) -> np.ndarray:
     return _mix(sums ^ _mix(segment.astype(np.uint64) + np.uint64(1000 * (band + 1)), 7), 13)
 
 
+def crowded_signatures(band: Band, slack: np.ndarray, sig: np.ndarray, calm: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(signature, row, side) of the crowded segments of sets, for each class of partners against which their calm ones do not suffice."""
+    own, enough, top = np.ceil(slack - 1e-9).astype(np.int64), calm.sum(1), math.ceil(band.slack)
+    for other in range(-top, top + 1):
+        most = np.floor(slack + min(other, band.slack) + 1e-9)
+        row, segment = np.nonzero(((most >= 0) & (enough < most + 1))[:, None] & ~calm)
+        lower, upper = np.minimum(own[row], other), np.maximum(own[row], other)
+        mark = ((lower + 1000) * 10_000 + upper + 1000).astype(np.uint64)
+        side = np.where(own[row] <= other, LOWER, 0) + np.where(own[row] >= other, UPPER, 0)
+        yield _mix(sig[row, segment] ^ _mix(mark, 17), 19), row, side
+
+
 def meets(band: Band, frequent: np.ndarray, slack: np.ndarray, rho: float) -> np.ndarray:
     """Which sets emit in a band: its own, and smaller ones that may have a partner there."""
     own = (frequent >= band.low) & (frequent < band.high)
@@ -262,7 +278,7 @@ def candidates(sets: DataFrame, threshold: Fraction = THRESHOLD, deletions: bool
             low, high = s.sketch()
             rare = ~is_f & test_bits(shared.value, s.words & np.uint64(mask))
             sigs, rows = [_mix(s.words[rare], 1)], [s.row[rare]]
-            hots = [np.zeros(len(rows[0]), bool)]
+            sides = [np.full(len(rows[0]), CALM)]
             for i, band in enumerate(bands):
                 use = meets(band, f, a, rho)
                 if not use.any():
@@ -283,39 +299,46 @@ def candidates(sets: DataFrame, threshold: Fraction = THRESHOLD, deletions: bool
                     take = on[row, seg]
                     sigs.append(seal(less[take], seg[take], i))
                     rows.append(back[row[take]])
-                    hots.append(np.ones(len(rows[-1]), bool))
-                    calm = np.zeros(on.shape, bool)
+                    sides.append(np.full(len(rows[-1]) + on.sum(), LOWER + UPPER))
                 else:
                     bucket = sig & np.uint64(mask)
                     calm = ~test_bits(crowded.value, bucket)
                     on = calm & (np.cumsum(calm, 1) <= (need + 1)[:, None])
-                    on[calm.sum(1) < need + 1] = True
                     on &= test_bits(several.value, bucket)
+                    sides.append(np.full(on.sum(), CALM))
                 sigs.append(sig[on])
                 rows.append(back[np.nonzero(on)[0]])
-                hots.append(~calm[on])
-            sig, row, hot = np.concatenate(sigs), np.concatenate(rows), np.concatenate(hots)
+                if not band.deletions:
+                    for marked, r, side in crowded_signatures(band, a[use], sig, calm):
+                        sigs.append(marked)
+                        rows.append(back[r])
+                        sides.append(side)
+            sig, row, side = np.concatenate(sigs), np.concatenate(rows), np.concatenate(sides).astype(np.int32)
             for k in range(0, len(sig), 100_000):
                 r = row[k : k + 100_000]
-                arrays = [sig[k : k + 100_000].view(np.int64), s.key[r], s.size[r].astype(np.int32), low[r], high[r], hot[k : k + 100_000]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["sig", "key", "l", "lo", "hi", "hot"])
+                arrays = [sig[k : k + 100_000].view(np.int64), s.key[r], s.size[r].astype(np.int32), low[r], high[r], side[k : k + 100_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["sig", "key", "l", "lo", "hi", "side"])
 
     signs = keep(sets.select("key", "words").mapInArrow(emit, SIGNATURES))
     # 5. Equal signatures. Calm ones are bounded in number, so they are partitioned once and both sides of the
     # join read that; the few crowded ones go through a join of their own, which the skew handling may split.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    calm_signs = keep(signs.where(~F.col("hot")).drop("hot").repartition(parts, "sig"))
-    return _meet(calm_signs, threshold).unionByName(_meet(signs.where("hot").drop("hot"), threshold))
+    x, y = F.col("x.key"), F.col("y.key")
+    calm_signs = keep(signs.where(F.col("side") == CALM).drop("side").repartition(parts, "sig"))
+    lower, upper = [signs.where((F.col("side").bitwiseAND(F.lit(s))) != 0) for s in (LOWER, UPPER)]
+    # Within a class both sides hold the same sets, between two classes each pair stands once.
+    once = (x < y) | ((F.col("x.side") == LOWER) & (x != y))
+    return _meet(calm_signs, calm_signs, x < y, threshold).unionByName(_meet(lower, upper, once, threshold))
 
 
-def _meet(signs: DataFrame, threshold: Fraction) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, once: Column, threshold: Fraction) -> DataFrame:
     """(key_a, key_b) with an equal signature, pruned by size and sketch: |r| + |s| and differences in whole numbers."""
     num, den = threshold.numerator, threshold.denominator
-    one, two = signs.alias("x"), signs.alias("y")
+    one, two = left.alias("x"), right.alias("y")
     both = F.col("x.l") + F.col("y.l")
     apart = F.bit_count(F.col("x.lo").bitwiseXOR(F.col("y.lo"))) + F.bit_count(F.col("x.hi").bitwiseXOR(F.col("y.hi")))
-    near = (F.col("x.key") < F.col("y.key")) & (apart * (num + den) <= both * (den - num))
-    return one.join(two, (F.col("x.sig") == F.col("y.sig")) & near).select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b"))
+    near = once & (apart * (num + den) <= both * (den - num))
+    return one.join(two, (F.col("x.sig") == F.col("y.sig")) & near).select(F.least("x.key", "y.key").alias("key_a"), F.greatest("x.key", "y.key").alias("key_b"))
 
 
 def verified(sets: DataFrame, pairs: DataFrame, threshold: Fraction = THRESHOLD) -> DataFrame:

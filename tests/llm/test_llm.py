@@ -116,6 +116,34 @@ def test_near_duplicates_against_brute_force(spark, deletions):
     assert {tuple(r) for r in alike_pairs(df, deletions=deletions).collect()} == brute(rows)
 
 
+def test_crowded_signatures_are_not_compared_all_with_all(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from tessella.llm import neardup
+
+    monkeypatch.setattr(neardup, "RARE_BUDGET", 3)
+    monkeypatch.setattr(neardup, "SEGMENT_BUDGET", 40)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(300):
+        text = [w for w in words if rng.random() < 0.9] + [f"c{i if rng.random() < 0.8 else i // 2}x{k}" for k in range(0 if i % 100 == 0 else 9)]
+        rows.append((str(i + 1), " ".join(text), None))
+    compared = []
+    real = neardup._meet
+
+    def meet(*given):
+        left, right = [x for x in given if isinstance(x, DataFrame)][0], [x for x in given if isinstance(x, DataFrame)][-1]
+        n = lambda df, name: df.groupBy("sig").agg(F.count("*").cast("long").alias(name))
+        compared.append(n(left, "n").join(n(right, "m"), "sig").agg(F.coalesce(F.sum(F.expr("n * m")), F.lit(0))).first()[0])
+        return real(*given)
+
+    monkeypatch.setattr(neardup, "_meet", meet)
+    got = {tuple(r) for r in alike_pairs(spark.createDataFrame(rows, "id string, question string, ground_truth string")).collect()}
+    assert got == brute(rows) and len(got) > 30
+    assert compared[-1] < 300 * 300 / 4, compared  # the join of crowded signatures
+
+
 def test_near_duplicates_of_nothing(spark):
     df = spark.createDataFrame([], "id string, question string, ground_truth string")
     assert alike_pairs(df).count() == 0
