@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators.blocks import ordered_pairs
 from tessella.operators.ordinal import quantiles, with_group_index, with_position
 from tessella.plans.dialect import Dialect, both
 from tessella.session import table
@@ -76,9 +77,9 @@ def f6_lookup(q: Dialect) -> str:
     return f"select id, {pick} as last_model from {q.t('predictions')} group by id"
 
 
-def f7_self_ineq(q: Dialect) -> str:
+def f7_self_ineq(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of parts of one normalised name, each pair once."""
-    return f"select a.p_partkey as a, b.p_partkey as b from {q.t('part')} a join {q.t('part')} b on lower(trim(a.p_name)) = lower(trim(b.p_name)) and a.p_partkey < b.p_partkey"
+    return ordered_pairs(table(spark, d, "part").select("p_partkey", F.lower(F.trim("p_name")).alias("name")), "name", "p_partkey")
 
 
 def f8_pairs(q: Dialect) -> str:
@@ -257,11 +258,13 @@ def j6_record_dedupe(q: Dialect) -> str:
 
 
 ORDINAL = [f4_positional, h3_renumber, h1_index, g10_median, g11_quantiles]
-DUAL = [f for n, f in dict(globals()).items() if n[:1] in "abfghij" and n[1:2].isdigit() and f not in ORDINAL]
+BLOCKS = [f7_self_ineq]
+DUAL = [f for n, f in dict(globals()).items() if n[:1] in "abfghij" and n[1:2].isdigit() and f not in ORDINAL + BLOCKS]
 QUERIES, ORACLES = both({f.__name__: f for f in DUAL})
-QUERIES |= {f.__name__: f for f in ORDINAL}
+QUERIES |= {f.__name__: f for f in ORDINAL + BLOCKS}
 ORACLES |= {
     "f4_positional": "select n.k, n.n_name, s.s_name from (select n_name, row_number() over (order by n_nationkey) as k from nation) n join (select s_name, row_number() over (order by s_suppkey) as k from supplier) s on n.k = s.k",
+    "f7_self_ineq": "select a.p_partkey as a, b.p_partkey as b from part a join part b on lower(trim(a.p_name)) = lower(trim(b.p_name)) and a.p_partkey < b.p_partkey",
     "h3_renumber": "select s_name, row_number() over (order by s_suppkey) + (select max(c_custkey) from customer) as new_id from supplier",
     "h1_index": "select doc_id, row_number() over (partition by product_name order by doc_id) - 1 as k from source_documents",
     "g10_median": "select l_returnflag, median(l_quantity) as mid from lineitem group by l_returnflag",

@@ -1,11 +1,15 @@
 """Searches that once made a row of every pair: the same results by the ways that do not, against brute force."""
 
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 import tessella.operators.additive as additive
+import tessella.operators.blocks as blocks
 import tessella.operators.graph as graph
 import tessella.operators.lexical as lexical
 import tessella.operators.recordsearch as recordsearch
@@ -110,3 +114,15 @@ def test_the_last_round_of_a_search_is_not_written(spark, monkeypatch):
     near = [(s, f"b{i}", 1) for s in ("a", "c1") for i in range(30)] + [("a", "a", 0), ("c1", "c1", 0), ("c1", "a", 2), ("x", "x", 0)]
     assert sorted((r.start, r.node, r.hops) for r in got) == sorted(far + near)
     assert not any("hops" in df.columns and df.where("hops = 2").count() for df in written)
+
+
+def test_pairs_of_one_crowded_name_are_dealt_out(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(blocks, "KEYS_A_BLOCK", 8)
+    r = random.Random(5)
+    rows = [(k, r.choice(["Red bolt", " red bolt "])) for k in range(300)] + [(7, "red bolt"), (8, "red bolt"), (8, "red bolt"), (None, "red bolt"), (400, None), (401, "nut"), (402, "NUT"), (403, "")]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    known = [(k, name.strip().lower()) for k, name in rows if k is not None and name is not None]
+    got = entry.queries()["f7_self_ineq"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert Counter((x.a, x.b) for x in got) == Counter((a, b) for a, m in known for b, n in known if m == n and a < b)
+    assert max(Counter(x.task for x in got).values()) < len(got) / 8
