@@ -126,3 +126,31 @@ def test_pairs_of_one_crowded_name_are_dealt_out(spark, monkeypatch, tmp_path):
     got = entry.queries()["f7_self_ineq"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
     assert Counter((x.a, x.b) for x in got) == Counter((a, b) for a, m in known for b, n in known if m == n and a < b)
     assert max(Counter(x.task for x in got).values()) < len(got) / 8
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_counts_near_the_best_take_all_questions(spark, monkeypatch, k):
+    for module in (additive, lexical):
+        monkeypatch.setattr(module, "BLOCK", 7)
+    monkeypatch.setattr(lexical, "ROWS", 16)
+    monkeypatch.setattr(lexical, "GROUP", 12)
+    monkeypatch.setattr(lexical, "LEAST_GROUP", 1)
+    r = random.Random(9)
+    words = "rated input voltage 24 12.5 capacity up to L-PCM RK-ZONE8 AB12 horn field-selectable candela how many compatible designed for x9 spec 1/4,".split()
+    made = lambda n: " ".join(r.choice(words) for _ in range(r.randint(1, n)))
+    asked = [(str(i), made(8)) for i in range(45)] + [("a", "horn"), ("b", "zzz"), ("c", None), (None, "horn")]
+    chunks = [(f"c{i}", made(6), r.choice(["", "spec", None]), r.choice(["general", "specification"]), r.choice(["1 ab12", "l-pcm", None])) for i in range(150)] + [("z", None, "", "", "")]
+    got = lexical.near_best(spark.createDataFrame(asked, "id string, question string"), spark.createDataFrame(chunks, "chunk_id string, text string, header string, block string, doc string"), k).collect()
+    want = {}
+    for i, q in asked:
+        if i and q:
+            best = sorted((s for _, t, h, b, d in chunks if t is not None and (s := lexical.lexical_score(lexical.Question.of(q), t, h or "", b or "", d or "")) > 0), reverse=True)[:k]
+            if best:
+                want[i] = (best[0], sum(2 * s >= best[0] for s in best))
+    assert {x.id: (x.best, x.near) for x in got} == want and len(got) == len(want)
+
+
+def test_f14_scores_takes_every_question(spark, tmp_path):
+    spark.createDataFrame([(str(i), "Which horn?") for i in range(1, 8)], "id string, question string").write.parquet(f"{tmp_path}/autoq_questions.parquet")
+    spark.createDataFrame([(1, "The horn.\nSpecifications\nA horn", None, None)], "doc_id long, text string, product_name string, doc_type string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.id for r in entry.queries()["f14_scores"](spark, str(tmp_path)).collect()} == {str(i) for i in range(1, 8)}
