@@ -154,3 +154,14 @@ def test_f14_scores_takes_every_question(spark, tmp_path):
     spark.createDataFrame([(str(i), "Which horn?") for i in range(1, 8)], "id string, question string").write.parquet(f"{tmp_path}/autoq_questions.parquet")
     spark.createDataFrame([(1, "The horn.\nSpecifications\nA horn", None, None)], "doc_id long, text string, product_name string, doc_type string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.id for r in entry.queries()["f14_scores"](spark, str(tmp_path)).collect()} == {str(i) for i in range(1, 8)}
+
+
+def test_the_driver_never_holds_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SPAN", 4)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", lambda df: pytest.fail("the graph is collected"))
+    monkeypatch.setattr("pyspark.SparkContext.broadcast", lambda sc, x: pytest.fail("the graph is sent by the driver"))
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(30)], "src string, dst string")
+    starts = spark.createDataFrame([(str(i), f"n{i:02}") for i in range(31)] + [("x", "no")], "id string, node string")
+    goals = spark.createDataFrame([(str(i), f"n{i + i % 4:02}") for i in range(28)], "id string, node string")
+    got = graph.within(edges, starts, goals, 2).collect()
+    assert {r.id: (r.nodes, r.hops) for r in got} == {str(i): (min(i, 2) + 1 + min(30 - i, 2), i % 4 if i < 28 and i % 4 < 3 else None) for i in range(31)}
