@@ -165,3 +165,25 @@ def test_the_driver_never_holds_the_graph(spark, monkeypatch):
     goals = spark.createDataFrame([(str(i), f"n{i + i % 4:02}") for i in range(28)], "id string, node string")
     got = graph.within(edges, starts, goals, 2).collect()
     assert {r.id: (r.nodes, r.hops) for r in got} == {str(i): (min(i, 2) + 1 + min(30 - i, 2), i % 4 if i < 28 and i % 4 < 3 else None) for i in range(31)}
+
+
+def test_the_last_round_of_a_search_is_not_exchanged(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FOUND", 7)
+    monkeypatch.setattr(graph, "ROWS", 3)
+    monkeypatch.setattr(graph, "PACKED", 10)
+    monkeypatch.setattr(graph, "RANGE", 30)
+    r = random.Random(6)
+    pairs = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(90)] + [("n1", "n1"), (None, "n2"), ("n4", "n5"), ("n5", "n4")]
+    starts = [f"n{i}" for i in range(0, 44, 4)] + ["n4", None]
+    want = set()
+    for s in filter(None, starts):
+        seen, front = {s: 0}, {s}
+        for h in (1, 2, 3):
+            front = {y for a, b in pairs if a and b for x, y in ((a, b), (b, a)) if x in front} - seen.keys()
+            seen |= dict.fromkeys(front, h)
+        want |= {(s, n, h) for n, h in seen.items()}
+    df = graph.bfs(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(s,) for s in starts], "node string"), 3)
+    got = [(x.start, x.node, x.hops) for x in df.collect()]
+    assert set(got) == want and len(got) == len(want)
+    # Behind the step that makes the last round's rows no exchange follows: none by start and node.
+    assert "hashpartitioning(start" not in df._jdf.queryExecution().executedPlan().toString()
